@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import chat, mixing, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op4_url_filter": urls.op4_url_filter,
+    "op5_chat_format": chat.op5_chat_format,
 }
 SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
+    "op4_url_filter": urls.OP4_SQL,
+    "op5_chat_format": chat.OP5_SQL,
 }
