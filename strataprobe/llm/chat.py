@@ -63,10 +63,13 @@ def reply_paths(nodes: DataFrame, top: int | None = 1, max_rounds: int = 40) ->
         F.col("score").alias("total"),
     )
     steps = [written(links, "links")]
+    open_before = -1
     for _ in range(max_rounds):
         cur = steps[-1]
-        if not cur.where("up is not null").take(1):
+        still_open = cur.where("up is not null").count()
+        if still_open in (0, open_before):  # each round settles a node unless only cycles are left
             break
+        open_before = still_open
         far = cur.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("h2"), F.col("total").alias("t2"))
         nxt = cur.join(far, ["tree", "up"], "left").select(
             "tree",
