@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, urls
+from . import chat, decontaminate, mixing, quality, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op4_url_filter": urls.op4_url_filter,
     "op5_chat_format": chat.op5_chat_format,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_quality": quality.op9_quality,
 }
+#: Where SQL can't express a query, tests/llm holds it against brute force or held-out labels.
 SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op4_url_filter": urls.OP4_SQL,
     "op5_chat_format": chat.OP5_SQL,
+    "op8_decontaminate": decontaminate.OP8_SQL,
 }
