@@ -71,14 +71,14 @@ def reply_paths(nodes: DataFrame, top: int | None = 1, max_rounds: int = 40) ->
             break
         open_before = still_open
         far = cur.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("h2"), F.col("total").alias("t2"))
-        nxt = cur.join(far, ["tree", "up"], "left").select(
+        nxt = cur.where("up is not null").join(far, ["tree", "up"], "left").select(
             "tree",
             "node",
             F.col("up2").alias("up"),
             (F.col("hops") + F.coalesce("h2", F.lit(0))).alias("hops"),
             (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"),
         )
-        steps.append(written(nxt, "links"))
+        steps.append(written(cur.where("up is null").unionByName(nxt), "links"))  # settled nodes don't join again
     done = steps[-1].where("up is null")
     parents = steps[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct()
     leaves = done.join(parents, ["tree", "node"], "left_anti")
