@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, quality, urls
+from . import chat, decontaminate, jaccard, mixing, quality, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
     "op4_url_filter": urls.op4_url_filter,
     "op5_chat_format": chat.op5_chat_format,
     "op8_decontaminate": decontaminate.op8_decontaminate,
