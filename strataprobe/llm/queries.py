@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, mixing, quality, urls
+from . import chat, decontaminate, jaccard, mixing, quality, suffixes, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_chat_format": chat.op5_chat_format,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_quality": quality.op9_quality,
+    "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
 #: Where SQL can't express a query, tests/llm holds it against brute force or held-out labels.
 SQL = {
