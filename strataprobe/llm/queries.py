@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, mixing, quality, suffixes, urls
+from . import chat, decontaminate, fingerprint, jaccard, mixing, quality, suffixes, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_fingerprint": fingerprint.op2_fingerprint,
     "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
     "op4_url_filter": urls.op4_url_filter,
     "op5_chat_format": chat.op5_chat_format,
