@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fingerprint, jaccard, mixing, quality, suffixes, urls
+from . import chat, decontaminate, fingerprint, jaccard, lines, mixing, quality, shards, suffixes, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
     "op4_url_filter": urls.op4_url_filter,
     "op5_chat_format": chat.op5_chat_format,
+    "op6_line_templates": lines.op6_line_templates,
+    "op7_shard": shards.op7_shard,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_quality": quality.op9_quality,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
@@ -19,5 +21,6 @@ SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op4_url_filter": urls.OP4_SQL,
     "op5_chat_format": chat.OP5_SQL,
+    "op6_line_templates": lines.OP6_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
 }
