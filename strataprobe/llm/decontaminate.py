@@ -61,7 +61,8 @@ def contamination(
     item_text_col: str = "text",
     window: int = 10,
 ) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted strings), contaminated for every row of docs.
+    """doc_id, text_key (xxhash64 of the text), n_words, n_hit, n_items, items (sorted strings), contaminated
+    for every row of docs.
 
     A null or empty text has no words and no hits; an item without words has no window; one of fewer
     words than `window` is one window. Repeated rows get a row each. Null item ids count as ''.
@@ -75,10 +76,11 @@ def contamination(
     small = n_vocab <= BROADCAST_SHINGLES
     vocab = F.broadcast(vocab) if small else vocab
 
-    read = docs.select(F.col(id_col).alias("doc_id"), word_hashes(F.col(text_col)).alias("w")).select(
-        "doc_id", F.monotonically_increasing_id().alias("rid"), F.size("w").cast("long").alias("n_words"), "w"
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    read = docs.select(F.col(id_col).alias("doc_id"), key.alias("text_key"), word_hashes(F.col(text_col)).alias("w")).select(
+        "doc_id", "text_key", F.monotonically_increasing_id().alias("rid"), F.size("w").cast("long").alias("n_words"), "w"
     )
-    rows = read.select("doc_id", "rid", "n_words", F.posexplode_outer(F.concat(*[shingles(F.col("w"), q) for q in sizes])).alias("at", "h"))
+    rows = read.select("doc_id", "text_key", "rid", "n_words", F.posexplode_outer(F.concat(*[shingles(F.col("w"), q) for q in sizes])).alias("at", "h"))
     at = F.col("at").cast("long")
     pos, before = F.lit(None).cast("long"), F.lit(0).cast("long")
     for q in sizes:
@@ -87,7 +89,7 @@ def contamination(
     found = (
         rows.join(vocab, rows["h"] == vocab["sh"], "left")
         .where("at is null or at = 0 or sh is not null")
-        .select("doc_id", "rid", "n_words", (F.coalesce("at", F.lit(0)) == 0).alias("first"), "q", pos.alias("pos"), "sh")
+        .select("doc_id", "text_key", "rid", "n_words", (F.coalesce("at", F.lit(0)) == 0).alias("first"), "q", pos.alias("pos"), "sh")
     )
     found = written(found, "postings")
     postings = found.where("sh is not null").select("rid", "n_words", "q", "pos", "sh")
@@ -124,9 +126,9 @@ def contamination(
     names = F.coalesce("items", F.array().cast("array<string>"))
     return (
         found.where("first")
-        .select("doc_id", "rid", "n_words")
+        .select("doc_id", "text_key", "rid", "n_words")
         .join(per_doc, "rid", "left")
-        .select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), names.alias("items"), (n_hit > 0).alias("contaminated"))
+        .select("doc_id", "text_key", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), names.alias("items"), (n_hit > 0).alias("contaminated"))
     )
 
 
