@@ -1,3 +1,10 @@
 """Spark-native incident-evidence analytics."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in Python workers travel with their plan, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
