@@ -32,7 +32,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Keeps documents that the quality classifier scores 0.3 or more."""
     labels = training_labels(table(spark, sf_dir, "labels")).select("doc_id", "quality")
     model = fit_quality(docs, labels)
-    return docs.where(score_udf(spark, model)(F.col("text")) >= QUALITY_THRESHOLD)
+    return docs.where(score_udf(model)(F.col("text")) >= QUALITY_THRESHOLD)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
