@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 STATS = 20
 
@@ -152,8 +152,6 @@ def fit_quality(
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "y"] + [f"s{i}" for i in range(STATS)])
 
     table_ = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")
-    from .common import written
-
     stat_rows = written(table_.mapInArrow(stats, f"doc_id long, y int, {width_cols}"), "stats")
     cols = [f"s{i}" for i in range(STATS)]
     base = stat_rows.agg(F.count("*"), *[F.avg(c) for c in cols], *[F.stddev_pop(c) for c in cols]).first()
@@ -213,14 +211,13 @@ def fold_of(ids: np.ndarray, folds: int) -> np.ndarray:
     return ((h >> np.uint64(40)) % np.uint64(folds)).astype(np.int64)
 
 
-def score_udf(spark, model: QualityModel):
-    """Column function text -> score (null and empty texts get the score of empty statistics)."""
-    shared = spark.sparkContext.broadcast(model)
-
+def score_udf(model: QualityModel):
+    """Column function text -> score (null and empty texts get the score of empty statistics). The model
+    is small and travels with the function."""
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         s = np.array([text_stats(_raw(t)) for t in text]).reshape(-1, STATS)
-        return pd.Series(shared.value.score(s))
+        return pd.Series(model.score(s))
 
     return score
 
@@ -235,7 +232,7 @@ def op9_quality(spark, sf_dir: str, threshold: float = 0.3) -> DataFrame:
     model = fit_quality(docs, training_labels(table(spark, sf_dir, "labels")).select("doc_id", "quality"))
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     return (
-        docs.withColumn("score", score_udf(spark, model)(F.col("text")))
+        docs.withColumn("score", score_udf(model)(F.col("text")))
         .withColumn("predicted", (F.col("score") >= threshold).cast("int"))
         .select("doc_id", (F.pmod(crc, F.lit(5)) == 0).alias("held_out"), "score", "predicted")
     )
