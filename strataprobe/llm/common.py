@@ -45,14 +45,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Settings while a cut is written: shuffle files go with the job.
+CUT_CONF = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+
+
 def written(df: DataFrame, name: str = "cut") -> DataFrame:
     """df as a table in the shared folder: its lineage is cut, and the files outlive any executor.
-    They stay until release_scratch() or the end of the session."""
+    The shuffle files that made it go at once, as nothing reads them again. The table stays until
+    unwritten(), release_scratch() or the end of the session."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    before = {k: spark.conf.get(k) for k in CUT_CONF}
+    try:
+        for k, v in CUT_CONF.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    out = spark.read.schema(schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def unwritten(df: DataFrame) -> None:
+    """Deletes what written() wrote for df; only when nothing is to read it again."""
+    release_scratch(df.scratch)
 
 
 def release_scratch(path: str | None = None) -> None:

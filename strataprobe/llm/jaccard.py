@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, table, written
+from .common import components, table, unwritten, written
 
 U = np.uint64
 SEED = U(0x9E3779B97F4A7C15)
@@ -31,6 +31,7 @@ SKETCH_PART = 1 << 16
 BLOOM_BITS = 1 << 26
 HASHES = 4
 LIST_BLOCK = 8192
+GROUP = 2048
 POSTINGS_A_TASK = 1_500_000
 NO_ID = -(2**63)
 
@@ -182,9 +183,37 @@ def order_levels(counts: np.ndarray) -> np.ndarray:
     return np.where(over > 1, np.floor(np.log2(np.maximum(over, 1))) + 1, 0).astype(np.uint8)
 
 
-def bloom_cells(sid: np.ndarray, key: np.ndarray, bits: int) -> list[np.ndarray]:
-    h = mix64(sid.view(U) ^ mix64(key.view(U) + SEED))
-    return [((h >> U(s)) & U(bits - 1)).astype(np.int64) for s in (0, 32)]
+def bloom_cells(keys: list[np.ndarray]) -> list[np.ndarray]:
+    h = np.full(len(keys[0]), SEED, U)
+    for k in keys:
+        h = mix64(h * LANES[1] ^ np.ascontiguousarray(k).view(U))
+    return [((h >> U(s)) & U(BLOOM_BITS - 1)).astype(np.int64) for s in (0, 32)]
+
+
+def bloom_filter(rows: DataFrame, columns: list[str]):
+    """Broadcast Bloom filter over long columns. Its size is BLOOM_BITS whatever the input; when it fills up,
+    more passes it in vain and nothing is lost."""
+
+    def mark(batches):
+        bits = np.zeros(BLOOM_BITS // 8, np.uint8)
+        for batch in batches:
+            for cell in bloom_cells([batch.column(c).to_numpy() for c in columns]):
+                np.bitwise_or.at(bits, cell >> 3, (1 << (cell & 7)).astype(np.uint8))
+        for p, x in enumerate(bits.reshape(-1, SKETCH_PART)):
+            if x.any():
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["part", "blob"])
+
+    out = np.zeros((BLOOM_BITS // 8 // SKETCH_PART, SKETCH_PART), np.uint8)
+    for p, x in summed(rows.select(*columns).mapInArrow(mark, "part int, blob binary"), np.uint8, either=True).items():
+        out[p] = x
+    return rows.sparkSession.sparkContext.broadcast(out.reshape(-1))
+
+
+def in_bloom(bloom: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
+    ok = np.ones(len(keys[0]), bool)
+    for cell in bloom_cells(keys):
+        ok &= (bloom[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+    return ok
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -229,7 +258,9 @@ def close_pairs(rows: list[np.ndarray], bitmaps: list[bytes], percent: int) -> t
         live = live[near]  # sizes ascend: later ones are too large as well
         i, j = i[near], j[near]
         need = -(-percent * (n[i] + n[j]) // (100 + percent))
-        fit = (comp[i] != comp[j]) & (1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 >= need)
+        # at their first common shingle, all that stands before it in either set is not in the other
+        fit = (comp[i] != comp[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
+        fit &= pos[i] + pos[j] <= n[i] + n[j] - 2 * need
         same = (pivot[i] == pivot[j]) & (ov[i] >= 0) & (ov[j] >= 0)
         most = np.minimum(ov[i], ov[j]) + np.minimum(n[i] - ov[i], n[j] - ov[j])
         fit &= ~same | (most >= need)
@@ -335,19 +366,52 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     p_total = classes.agg(F.sum(F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1)).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(p_total // POSTINGS_A_TASK) + 1)
 
-    # answer level: a pivot for each set that shares a minhash with others
+    # answer level: sets that share a minhash meet in groups of bounded size; the one nearest to what most of
+    # a group have in common is its pivot
     lows = classes.select("sid", F.posexplode("low").alias("k", "low"))
-    heads = lows.groupBy("k", "low").agg(F.min("sid").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("k", "low", "pivot")
-    pivots = (
-        lows.join(heads, ["k", "low"])
-        .where("sid <> pivot")
-        .groupBy("sid", "pivot")
-        .agg(F.count("*").alias("c"))
-        .groupBy("sid")
-        .agg(F.max(F.struct(F.col("c"), (-F.col("pivot")).alias("back"), F.col("pivot").alias("pivot"))).alias("best"))
-        .select("sid", F.col("best.pivot").alias("pivot"))
-    )
-    pivots = written(pivots, "pivots")
+    heads = lows.groupBy("k", "low").agg(F.count("*").alias("c")).where("c > 1")
+    room = F.ceil(F.col("c") / GROUP).cast("int")
+    met = lows.join(heads, ["k", "low"]).select("sid", F.xxhash64("k", "low", F.pmod(F.xxhash64("sid", "k"), room)).alias("cell"))
+    met = met.join(classes.select("sid", "n", "bitmap"), "sid").repartition(tasks, "cell").sortWithinPartitions("cell", "sid")
+
+    def choose(batches):
+        held: list[tuple[int, int, bytes]] = []
+        current = None
+
+        def flush():
+            if len(held) < 2:
+                return []
+            sid, n, maps = zip(*held)
+            n = np.array(n)
+            size = max(set(map(len, maps)), key=[len(m) for m in maps].count)
+            like = [k for k, m in enumerate(maps) if len(m) == size]
+            bits = np.stack([np.unpackbits(np.frombuffer(maps[k], np.uint8)) for k in like])
+            common = np.packbits(bits.mean(axis=0) > 0.5)
+            off = [int(np.bitwise_count(np.frombuffer(maps[k], np.uint8) ^ common).sum()) for k in like]
+            p = like[int(np.argmin(off))]
+            rest = np.array([k for k in range(len(maps)) if k != p])
+            apart = bitmap_distance(np.full(len(rest), p), rest, list(maps))
+            need = -(-percent * (n[p] + n[rest]) // (100 + percent))
+            ok = (percent * np.maximum(n[p], n[rest]) <= 100 * np.minimum(n[p], n[rest])) & (apart <= n[p] + n[rest] - 2 * need)
+            return [(sid[p], sid[k], int(d)) for k, d in zip(rest[ok], apart[ok])]
+
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b", "apart"])
+
+        for batch in batches:
+            out = []
+            for cell, sid, n, bitmap in zip(*(batch.column(c).to_pylist() for c in ("cell", "sid", "n", "bitmap"))):
+                if cell != current:
+                    out += flush()
+                    held, current = [], cell
+                held.append((sid, n, bitmap))
+            if out:
+                yield batch_of(out)
+        if out := flush():
+            yield batch_of(out)
+
+    near = met.mapInArrow(choose, "a long, b long, apart long").groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best"))
+    near = written(near.select("best.a", "b"), "near")
 
     posting = np.dtype([("tok", "<u8"), ("sid", "<i8"), ("pos", "<u4")])
 
@@ -418,44 +482,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     posts = slim_in.select("text").mapInArrow(post, "part int, blob binary")
     live = written(posts.repartitionById(tasks, F.col("part") % tasks).mapInArrow(lists, "tok long, sid long, pos long"), "lists").distinct()
 
-    # whole sets, but only of those that a pivot or a list brings up
-    wanted = pivots.select("sid").union(pivots.select(F.col("pivot").alias("sid"))).union(live.select("sid")).distinct()
-    wanted = wanted.join(classes.select("sid", "key"), "sid")
-
-    def mark(batches):
-        bits = np.zeros(BLOOM_BITS // 8, np.uint8)
-        for batch in batches:
-            sid, key = (batch.column(c).to_numpy() for c in ("sid", "key"))
-            for cell in bloom_cells(sid, key, BLOOM_BITS):
-                np.bitwise_or.at(bits, cell >> 3, (1 << (cell & 7)).astype(np.uint8))
-        for p, x in enumerate(bits.reshape(-1, SKETCH_PART)):
-            if x.any():
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["part", "blob"])
-
-    marks = summed(wanted.mapInArrow(mark, "part int, blob binary"), np.uint8, either=True)
-    bloom = np.zeros((BLOOM_BITS // 8 // SKETCH_PART, SKETCH_PART), np.uint8)
-    for p, x in marks.items():
-        bloom[p] = x
-    bloom_b = spark.sparkContext.broadcast(bloom.reshape(-1))
-
-    def fetch(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            ids = batch.column("doc_id").fill_null(NO_ID).to_numpy()
-            found = []
-            for doc, u in zip(ids, text_sets(batch.column("text"), width)):
-                if len(u):
-                    sid = set_id(u)
-                    cells = bloom_cells(np.array([sid]), np.array([doc]), BLOOM_BITS)
-                    if sid not in seen and all(bloom_b.value[c[0] >> 3] >> (c[0] & 7) & 1 for c in cells):
-                        seen.add(sid)
-                        found.append((sid, u.tobytes()))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["sid", "blob"])
-
-    sets = written(slim_in.mapInArrow(fetch, "sid long, blob binary"), "sets")
-
-    tried = written(verify(pivots.select(F.col("pivot").alias("a"), F.col("sid").alias("b")), sets, percent), "tried")
+    def fetched(pairs: DataFrame) -> DataFrame:
+        """Whole sets (sid, blob) of the pairs' ends: the texts are read again, but only documents in a
+        Bloom filter of fixed size (BLOOM_BITS) are cut into shingles."""
+        ends = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+        ends = ends.join(classes.select("sid", "key"), "sid")
+        bloom = bloom_filter(ends, ["key"])
+        exact = bloom_filter(ends, ["sid", "key"])
+
+        def fetch(batches):
+            seen: set[int] = set()
+            for batch in batches:
+                ids = batch.column("doc_id").fill_null(NO_ID).to_numpy()
+                hit = in_bloom(bloom.value, [ids])
+                found = []
+                if hit.any():
+                    for doc, u in zip(ids[hit], text_sets(batch.column("text").filter(pa.array(hit)), width)):
+                        if len(u) and (sid := set_id(u)) not in seen and in_bloom(exact.value, [np.array([sid]), np.array([doc])])[0]:
+                            seen.add(sid)
+                            found.append((sid, u.tobytes()))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["sid", "blob"])
+
+        return written(slim_in.mapInArrow(fetch, "sid long, blob binary"), "wholesets")
+
+    sets = fetched(near)
+    tried = written(verify(near, sets, percent), "tried")
+    unwritten(sets)
     links = tried.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
     known = written(components(links), "known")
 
@@ -501,7 +554,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield from flush(held, maps)
 
     more = written(placed.mapInArrow(candidates, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")), "more")
-    rest = written(verify(more.where("not sure").select("a", "b"), sets, percent).where("linked"), "rest")
+    unsure = more.where("not sure").select("a", "b")
+    sets = fetched(unsure)
+    rest = written(verify(unsure, sets, percent).where("linked"), "rest")
+    unwritten(sets)
     links = links.union(rest.select("a", "b")).union(more.where("sure").select("a", "b"))
     whole = components(links)
 

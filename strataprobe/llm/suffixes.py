@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .anchors import anchors_of
 from .common import table, written
-from .jaccard import BLOOM_BITS, SEED, SKETCH_PART, U, bloom_cells, mix64, summed, texts_of
+from .jaccard import SEED, U, bloom_filter, in_bloom, mix64, texts_of
 
 SHALLOW = 32
 WORD = 8
@@ -257,30 +257,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = written(dealt.repartitionById(tasks, F.col("part")).mapInArrow(meet, "edge int, gram long, region long, th long, lo long, end long"), "met")
     edges = met.where("edge > 0")
 
-    def bloom_of(rows: DataFrame, a: str, b: str):
-        """A Bloom filter of fixed size (BLOOM_BITS); what it lets through too much is sorted in vain."""
-
-        def mark(batches):
-            bits = np.zeros(BLOOM_BITS // 8, np.uint8)
-            for batch in batches:
-                for cell in bloom_cells(batch.column(a).to_numpy(), batch.column(b).to_numpy(), BLOOM_BITS):
-                    np.bitwise_or.at(bits, cell >> 3, (1 << (cell & 7)).astype(np.uint8))
-            for p, x in enumerate(bits.reshape(-1, SKETCH_PART)):
-                if x.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["part", "blob"])
-
-        out = np.zeros((BLOOM_BITS // 8 // SKETCH_PART, SKETCH_PART), np.uint8)
-        for p, x in summed(rows.select(a, b).mapInArrow(mark, "part int, blob binary"), np.uint8, either=True).items():
-            out[p] = x
-        return spark.sparkContext.broadcast(out.reshape(-1))
-
-    def passes(bloom, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        ok = np.ones(len(x), bool)
-        for cell in bloom_cells(x, y, BLOOM_BITS):
-            ok &= (bloom[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
-        return ok
-
-    wanted = bloom_of(edges, "gram", "region")
+    wanted = bloom_filter(edges, ["gram", "region"])
 
     def bring(batches):
         seen: set = set()
@@ -290,7 +267,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for _, raw, found in anchored(batch, seen):
                 if not len(found):
                     continue
-                for f in found[passes(wanted.value, found["gram"].copy().view(np.int64), found["region"].copy().view(np.int64))]:
+                for f in found[in_bloom(wanted.value, [found["gram"], found["region"]])]:
                     key = (int(f["gram"]), int(f["region"]))
                     if key not in sent:
                         sent.add(key)
@@ -349,13 +326,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     per_text = written(per_text.mapInArrow(join_spans, "th long, spans binary"), "spans")
     # texts that lose some bytes: read once more, only those
-    known = bloom_of(per_text.select("th", F.lit(0).cast("long").alias("zero")), "th", "zero")
+    known = bloom_filter(per_text, ["th"])
 
     def again(batches):
         seen: set[int] = set()
         for batch in batches:
             th = batch.column("th").to_numpy()
-            ok = passes(known.value, th, np.zeros(len(th), np.int64))
+            ok = in_bloom(known.value, [th])
             for k in np.flatnonzero(ok):
                 ok[k] = int(th[k]) not in seen
                 seen.add(int(th[k]))
