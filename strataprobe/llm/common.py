@@ -45,9 +45,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-#: Settings while a cut is written: shuffle files go with the job.
+#: Settings while a cut is written: shuffle files go with the job, and Python gets texts in small batches.
 CUT_CONF = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
