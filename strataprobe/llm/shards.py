@@ -173,24 +173,17 @@ class ShardStore:
 
     # reading -------------------------------------------------------------------------------------
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version with shard_id (files numbered by name) and shard_version; columns of those
-        names in the data give way."""
+        """The rows of a version with shard_id (the file's folder and name) and shard_version; columns of those
+        names in the data give way. The id comes with the file's rows, so nothing is joined."""
         head = self.head(version)
         schema = T.StructType.fromJson(json.loads(head["schema"]))
-        names = sorted((r["file"] for r in self.files(version).select("file").toLocalIterator()), key=_order)
+        names = [r["file"] for r in self.files(version).select("file").toLocalIterator()]
         data = [F.col(f"`{f.name}`") for f in schema if f.name.lower() not in MARKS]
-        marks = [F.lit(head["version"]).alias("shard_version")]
+        mark = F.lit(head["version"]).alias("shard_version")
         if not names:
-            return self.spark.createDataFrame([], schema).select(*data, F.lit(None).cast("int").alias("shard_id"), *marks)
-        numbers = self.spark.createDataFrame([(n, i) for i, n in enumerate(names)], "shard_file string, shard_no int")
-        rows = self.spark.read.schema(schema).parquet(*names)
-        rows = rows.select(*data, F.col("_metadata.file_path").alias("shard_file"))
-        return rows.join(numbers, "shard_file").select(*[F.col(f"`{f.name}`") for f in schema if f.name.lower() not in MARKS], F.col("shard_no").alias("shard_id"), *marks)
-
-
-def _order(file: str) -> tuple[str, str]:
-    folder, _, name = file.rpartition("/")
-    return folder.rpartition("/")[2].split("-")[0], name
+            return self.spark.createDataFrame([], schema).select(*data, F.lit(None).cast("string").alias("shard_id"), mark)
+        shard_id = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1)
+        return self.spark.read.schema(schema).parquet(*names).select(*data, shard_id.alias("shard_id"), mark)
 
 
 def shard(docs: DataFrame, root: str | None = None, target_bytes: int = 128 << 20) -> DataFrame:
