@@ -45,10 +45,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-#: Settings while a cut is written: shuffle files go with the job, and Python gets texts in small batches.
+#: Settings while a cut is written: shuffle files go with the job, Python gets texts in small batches, and the
+#: table is packed well, as it waits on disk.
 CUT_CONF = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.parquet.compression.codec": "zstd",
 }
 
 
@@ -118,7 +120,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, F.col("v") > F.col("u"), keep_self=False)
         small = _star(large, F.lit(True), keep_self=True)
-        cur = written(small, "edges")
+        before, cur = cur, written(small, "edges")
+        unwritten(before)
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

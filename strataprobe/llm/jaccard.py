@@ -25,7 +25,7 @@ from .common import components, table, unwritten, written
 U = np.uint64
 SEED = U(0x9E3779B97F4A7C15)
 LANES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], U)
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 SKETCH_BITS = 21
 SKETCH_PART = 1 << 16
 BLOOM_BITS = 1 << 26
@@ -281,6 +281,27 @@ def close_pairs(rows: list[np.ndarray], bitmaps: list[bytes], percent: int) -> t
     return a[keep], b[keep], sure[keep]
 
 
+def partnered(tok: np.ndarray, pos: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Which postings have another one in their list that sizes and positions allow; sorted by tok, then n."""
+    size = len(tok)
+    begin = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
+    last = np.repeat(np.r_[begin[1:], size], np.diff(np.r_[begin, size]))
+    keep = np.zeros(size, bool)
+    live = np.arange(size)
+    lag = 1
+    while True:
+        live = live[live + lag < last[live]]
+        live = live[percent * n[live + lag] <= 100 * n[live]]
+        if not len(live):
+            return keep
+        i, j = live, live + lag
+        need = -(-percent * (n[i] + n[j]) // (100 + percent))
+        fit = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & (pos[i] + pos[j] <= n[i] + n[j] - 2 * need)
+        keep[i[fit]] = True
+        keep[j[fit]] = True
+        lag += 1
+
+
 def bitmap_distance(i: np.ndarray, j: np.ndarray, bitmaps: list[bytes]) -> np.ndarray:
     """Differing bits; the larger bitmap is folded to the smaller's cells."""
     out = np.zeros(len(i), np.int64)
@@ -311,7 +332,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     slim_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def describe(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         seen: set[int] = set()
         for batch in batches:
             rows, fresh = [], []
@@ -326,7 +347,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 else:
                     rows.append((0, 0, [0] * HASHES, b""))
             if fresh:
-                sketch += np.bincount((np.concatenate(fresh) & U(len(sketch) - 1)).astype(np.int64), minlength=len(sketch))
+                sketch += np.bincount((np.concatenate(fresh) & U(len(sketch) - 1)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([0] * len(rows), pa.int32()), batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
                  pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary())],
@@ -342,7 +363,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             )
 
     first = written(slim_in.mapInArrow(describe, "part int, doc_id long, sid long, n long, low array<long>, blob binary"), "sets1")
-    slim = first.where("part = 0").select("doc_id", "sid", "n")
+    slim = written(first.where("part = 0").select("doc_id", "sid", "n"), "slim")
     # The sketch has a fixed size (2^SKETCH_BITS counters), whatever the input.
     counts = summed(first.where("part > 0").select("part", "blob"), np.uint16)
     if not counts:
@@ -363,6 +384,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         ),
         "classes",
     )
+    unwritten(first)
     p_total = classes.agg(F.sum(F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1)).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(p_total // POSTINGS_A_TASK) + 1)
 
@@ -413,14 +435,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = met.mapInArrow(choose, "a long, b long, apart long").groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best"))
     near = written(near.select("best.a", "b"), "near")
 
-    posting = np.dtype([("tok", "<u8"), ("sid", "<i8"), ("pos", "<u4")])
+    # 20 bytes: of a shingle's hash 48 bits tell lists apart (what they can't only adds candidates), and a
+    # position over the field's range counts as its end (that only weakens a bound)
+    posting = np.dtype([("hi", "<u4"), ("lo", "<u2"), ("pos", "<u2"), ("n", "<u4"), ("sid", "<i8")])
 
     def post(batches):
         seen: set[int] = set()
         lev = level_b.value
         mask = U(len(lev) - 1)
         for batch in batches:
-            toks, sids, poss, hot = [], [], [], []
+            toks, sids, poss, ns, hot = [], [], [], [], []
             for u in text_sets(batch.column("text"), width):
                 if not len(u) or (sid := set_id(u)) in seen:
                     continue
@@ -435,13 +459,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     toks.append(u[:p])
                     hot.append(np.zeros(p, bool))
                 sids.append(np.full(p, sid, np.int64))
-                poss.append(np.arange(p))
+                poss.append(np.minimum(np.arange(p), 65535))
+                ns.append(np.full(p, len(u)))
             if not toks:
                 continue
-            rec = np.zeros(sum(map(len, toks)), posting)
-            rec["tok"], rec["sid"], rec["pos"] = np.concatenate(toks), np.concatenate(sids), np.concatenate(poss)
+            tok = np.concatenate(toks) >> U(16)
+            rec = np.zeros(len(tok), posting)
+            rec["hi"], rec["lo"] = tok >> U(16), tok & U(65535)
+            rec["sid"], rec["pos"], rec["n"] = np.concatenate(sids), np.concatenate(poss), np.concatenate(ns)
             # a frequent shingle's list may be long: it is dealt by set, not by shingle
-            key = np.where(np.concatenate(hot), mix64(rec["tok"] ^ rec["sid"].view(U)), mix64(rec["tok"]))
+            key = np.where(np.concatenate(hot), mix64(tok ^ np.concatenate(sids).view(U)), mix64(tok))
             part = (key % U(tasks)).astype(np.int32) + np.where(np.concatenate(hot), tasks, 0)
             order = np.argsort(part, kind="stable")
             part, rec = part[order], rec[order]
@@ -452,15 +479,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             )
 
     def lists(batches):
-        """Postings of shingles that two sets or more have in their prefixes; frequent ones as they come."""
+        """Postings that another one in their list may be similar to, by sizes and positions; frequent shingles'
+        as they come."""
         kept: list[np.ndarray] = []
 
         def out(rec):
-            for a in range(0, len(rec), 1 << 20):
-                r = rec[a : a + (1 << 20)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["tok"].view(np.int64)), pa.array(r["sid"].copy()), pa.array(r["pos"].astype(np.int64))], ["tok", "sid", "pos"]
-                )
+            for a in range(0, len(rec), 1 << 18):
+                r = rec[a : a + (1 << 18)]
+                tok = (r["hi"].astype(np.int64) << 16) | r["lo"]
+                yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array(r["sid"].copy()), pa.array(r["pos"].astype(np.int64))], ["tok", "sid", "pos"])
 
         for batch in batches:
             for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist()):
@@ -472,15 +499,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if kept:
             rec = np.concatenate(kept)
             kept.clear()
-            rec = rec[np.lexsort((rec["sid"], rec["tok"]))]
-            new = np.r_[True, (rec["tok"][1:] != rec["tok"][:-1]) | (rec["sid"][1:] != rec["sid"][:-1])]
-            rec = rec[new]
-            begin = np.flatnonzero(np.r_[True, rec["tok"][1:] != rec["tok"][:-1]])
-            size = np.diff(np.r_[begin, len(rec)])
-            yield from out(rec[np.repeat(size > 1, size)])
+            tok = (rec["hi"].astype(np.int64) << 16) | rec["lo"]
+            order = np.lexsort((rec["pos"], rec["sid"], tok))
+            rec, tok = rec[order], tok[order]
+            new = np.r_[True, (tok[1:] != tok[:-1]) | (rec["sid"][1:] != rec["sid"][:-1])]
+            rec, tok = rec[new], tok[new]
+            order = np.lexsort((rec["n"], tok))
+            rec, tok = rec[order], tok[order]
+            yield from out(rec[partnered(tok, rec["pos"].astype(np.int64), rec["n"].astype(np.int64), percent)])
 
     posts = slim_in.select("text").mapInArrow(post, "part int, blob binary")
-    live = written(posts.repartitionById(tasks, F.col("part") % tasks).mapInArrow(lists, "tok long, sid long, pos long"), "lists").distinct()
+    kept_lists = written(posts.repartitionById(tasks, F.col("part") % tasks).mapInArrow(lists, "tok long, sid long, pos long"), "lists")
+    live = kept_lists.groupBy("tok", "sid").agg(F.min("pos").alias("pos"))
 
     def fetched(pairs: DataFrame) -> DataFrame:
         """Whole sets (sid, blob) of the pairs' ends: the texts are read again, but only documents in a
@@ -554,6 +584,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield from flush(held, maps)
 
     more = written(placed.mapInArrow(candidates, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")), "more")
+    unwritten(kept_lists)
     unsure = more.where("not sure").select("a", "b")
     sets = fetched(unsure)
     rest = written(verify(unsure, sets, percent).where("linked"), "rest")

@@ -94,7 +94,7 @@ class ShardStore:
         head = self.head()
         schema = T.StructType.fromJson(json.loads(head["schema"])) if head else T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
         path = f"{self.root}/data/a{uuid.uuid4().hex[:12]}"
-        df.select(*[F.col(f"`{f.name}`") for f in schema]).write.parquet(path)
+        df.select(*[F.col(f"`{f.name}`") for f in schema]).write.option("compression", "zstd").parquet(path)
         files = self.files().unionByName(self._listed(path, schema))
         return self._commit(files, schema, head["version"] if head else 0)
 
@@ -148,7 +148,7 @@ class ShardStore:
         try:
             for k, v in packing.items():
                 self.spark.conf.set(k, v)
-            self.spark.read.schema(schema).parquet(*names).write.parquet(path)
+            self.spark.read.schema(schema).parquet(*names).write.option("compression", "zstd").parquet(path)
         finally:
             for k, v in before.items():
                 if v is None:
