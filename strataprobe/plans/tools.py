@@ -120,7 +120,8 @@ def find_identifiers(spark: SparkSession, root: str, ids: list[str], output: str
         r["occurrences"] += t["occurrences"]
         r["matching_files"] += t["files"]
         r["occurrences_by_category"][t["category"]] = t["occurrences"]
-    sinks.json_file({"identifiers": wanted, "searchable_files_scanned": files.count(), "results": results}, out / "summary.json")
+    errors = sinks.rows_of(ingest.unreadable(files).orderBy("rel"))
+    sinks.json_file({"identifiers": wanted, "searchable_files_scanned": files.count(), "read_errors": len(errors), "unreadable": errors, "results": results}, out / "summary.json")
     samples = search.match_samples(matches, samples_per_file, sample_width, ignore_case).orderBy("identifier", "path", "line_no")
     telling = F.col("category") != "metrics"
     sinks.markdown_file(

@@ -191,3 +191,16 @@ def hashed(files: DataFrame) -> DataFrame:
             yield rel, "ERROR"
 
     return _rows(files, read, "rel string, sha256 string")
+
+
+def unreadable(files: DataFrame) -> DataFrame:
+    """rel, error of files that can't be opened."""
+
+    def read(path, rel):
+        try:
+            with open(path, "rb"):
+                return
+        except OSError as e:
+            yield rel, type(e).__name__
+
+    return _rows(files, read, "rel string, error string")

@@ -44,6 +44,13 @@ def test_unwrapping():
     assert len(list(ingest.nested_with_id(nested, ["ID", "id"], "i"))) == 2
 
 
+def test_unreadable_files_are_named(spark, tmp_path):
+    files = spark.createDataFrame([(str(tmp_path / "gone.log"), "gone.log", 3)], bundles.LISTING)
+    assert [tuple(r) for r in ingest.unreadable(files).collect()] == [("gone.log", "FileNotFoundError")]
+    assert ingest.text_lines(files).count() == 0 and ingest.hashed(files).first()["sha256"] == "ERROR"
+    assert [r["mode"] for r in ingest.json_records(files).collect()] == ["unparseable"]
+
+
 def test_bundle_finding(tree, tmp_path):
     assert bundles.find_bundle(tree) == tree and bundles.find_bundle(tree.parent) == tree
     assert bundles.find_bundle(tmp_path) is None and bundles.find_bundle(tmp_path / "no") is None
@@ -64,7 +71,7 @@ def test_inventory(spark, tree, tmp_path):
 def test_find(spark, tree, tmp_path):
     out = tools.find_identifiers(spark, str(tree), [A, "zzz"], str(tmp_path / "o"))
     s = load(out / "summary.json")
-    assert s["results"]["zzz"]["occurrences"] == 0
+    assert s["results"]["zzz"]["occurrences"] == 0 and s["read_errors"] == 0
     rows = table(out / "results.csv")
     assert rows[0]["category"] == "event_stream"
     client = next(r for r in rows if r["relative_path"] == "client/c1/monitor.log")
