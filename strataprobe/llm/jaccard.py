@@ -78,44 +78,60 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
-def chunk_shingles(raw: np.ndarray, off: np.ndarray, width: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text in raw[off[i]:off[i+1]]."""
-    base = off[0]
-    b = raw[base : off[-1]]
+def word_hashes(b: np.ndarray, edge: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the words in b; edge[i]: a text begins at i, so a word ends there."""
     n = len(b)
-    docs = len(off) - 1
-    none = np.zeros(0, U)
-    if not n:
-        return [none] * docs
     word = IS_WORD[b]
-    edge = np.zeros(n + 1, bool)
-    edge[off - base] = True
-    start = word.copy()
-    start[1:] &= ~word[:-1] | edge[1:n]
-    stop = word.copy()
-    stop[:-1] &= ~word[1:] | edge[1:n]
+    start, stop = word.copy(), word.copy()
+    start[1:] &= ~word[:-1] if edge is None else ~word[:-1] | edge[1:n]
+    stop[:-1] &= ~word[1:] if edge is None else ~word[1:] | edge[1:n]
     ws, we = np.flatnonzero(start), np.flatnonzero(stop) + 1
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, U)
     np.cumsum(BYTE_CODE[b] * up[:n], out=sums[1:])
-    words = mix64((sums[we] - sums[ws]) * down[ws] + (we - ws).astype(U) * SEED)
+    return ws, mix64((sums[we] - sums[ws]) * down[ws] + (we - ws).astype(U) * SEED)
+
+
+def gram_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    runs = max(0, len(words) - width + 1)
+    acc = words[:runs] * LANES[0]
+    for j in range(1, width):
+        acc = acc + words[j : j + runs] * LANES[j % 5] * U(2 * (j // 5) + 1)
+    return mix64(acc)
+
+
+def short_set(words: np.ndarray) -> np.ndarray:
+    """The set of a text of fewer words than a shingle has: the whole sequence."""
+    if not len(words):
+        return words
+    k = np.arange(len(words))
+    weights = LANES[k % 5] * (k // 5 * 2 + 1).astype(U)
+    return mix64((words * weights).sum(keepdims=True) + LANES[4:] * U(len(words)))
+
+
+def chunk_shingles(raw: np.ndarray, off: np.ndarray, width: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text in raw[off[i]:off[i+1]]."""
+    base = off[0]
+    b = raw[base : off[-1]]
+    edge = np.zeros(len(b) + 1, bool)
+    edge[off - base] = True
+    ws, words = word_hashes(b, edge)
     first = np.searchsorted(ws, off - base)
-    if len(words) >= width:
-        runs = len(words) - width + 1
-        acc = words[:runs] * LANES[0]
-        for j in range(1, width):
-            acc = acc + words[j : j + runs] * LANES[j % 5] * U(2 * (j // 5) + 1)
-        grams = mix64(acc)
-    out = []
-    for a, z in zip(first[:-1], first[1:]):
-        if z - a >= width:
-            out.append(np.unique(grams[a : z - width + 1]))
-        elif z > a:  # fewer words: the whole sequence
-            w = words[a:z]
-            out.append(mix64((w * LANES[: z - a]).sum(keepdims=True) + LANES[4:] * U(int(z - a))))
-        else:
-            out.append(none)
-    return out
+    grams = gram_hashes(words, width)
+    return [np.unique(grams[a : z - width + 1]) if z - a >= width else short_set(words[a:z]) for a, z in zip(first[:-1], first[1:])]
+
+
+def long_shingles(b: np.ndarray, width: int) -> np.ndarray:
+    """The same for one long text, read in pieces that end between words."""
+    words, at = [], 0
+    while at < len(b):
+        end = at + CHUNK
+        while end < len(b) and IS_WORD[b[end]]:  # to the end of the word
+            end += 1
+        words.append(word_hashes(b[at:end])[1])
+        at = end
+    whole = np.concatenate(words)
+    return np.unique(gram_hashes(whole, width)) if len(whole) >= width else short_set(whole)
 
 
 def text_sets(column, width: int):
@@ -125,7 +141,10 @@ def text_sets(column, width: int):
     while at < len(off) - 1:
         end = int(np.searchsorted(off, off[at] + CHUNK, "right")) - 1
         end = min(max(end, at + 1), len(off) - 1)
-        yield from chunk_shingles(raw, off[at : end + 1], width)
+        if off[end] - off[at] > 2 * CHUNK:
+            yield long_shingles(raw[off[at] : off[end]], width)
+        else:
+            yield from chunk_shingles(raw, off[at : end + 1], width)
         at = end
 
 

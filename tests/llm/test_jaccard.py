@@ -78,3 +78,12 @@ def test_bitmaps_never_hide_a_likeness():
         b = np.unique(np.concatenate([a[: int(n * 0.9)], rng.integers(0, 2**63, max(1, n // 5), dtype=np.uint64)]))
         apart = j.bitmap_distance(np.array([0]), np.array([1]), [j.parity_bitmap(a), j.parity_bitmap(b)])[0]
         assert apart <= len(np.setxor1d(a, b))
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    texts = [prose(random.Random(1), 3000, 900), "w " * 900, "x" * 5000, " " * 4000, None, "a b"]
+    whole = list(j.text_sets(pa.array(texts), 4))
+    monkeypatch.setattr(j, "CHUNK", 700)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, j.text_sets(pa.array(texts), 4), strict=True))
