@@ -24,6 +24,8 @@ from .jaccard import SEED, U, bloom_filter, in_bloom, mix64, texts_of
 SHALLOW = 32
 WORD = 8
 ANCHORS_A_TASK = 1_000_000
+#: Differing regions of one anchor from which they are dealt again by their surroundings.
+HOT_REGIONS = 2000
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -258,6 +260,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     edges = met.where("edge > 0")
 
     wanted = bloom_filter(edges, ["gram", "region"])
+    # Regions that share windows agree on half the room beyond the anchor on its left or its right, so a string
+    # that very many texts hold can be dealt by these halves; what the filter lets in too much is dealt so in vain.
+    hot = bloom_filter(edges.groupBy("gram").count().where(F.col("count") > HOT_REGIONS).select("gram"), ["gram"])
+    half = (length - gram) // 2
 
     def bring(batches):
         seen: set = set()
@@ -271,40 +277,54 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     key = (int(f["gram"]), int(f["region"]))
                     if key not in sent:
                         sent.add(key)
-                        lo = int(f["lo"])
-                        rows.append((*key, int(f["at"]), raw[lo : lo + int(f["span"]) + length].tobytes()))
+                        lo, at = int(f["lo"]), int(f["at"])
+                        body = raw[lo : lo + int(f["span"]) + length].tobytes()
+                        for place in places(f["gram"], at, body):
+                            rows.append((place, *key, at, body))
             if rows:
-                g, r, at, body = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(g, U).view(np.int64)), pa.array(np.array(r, U).view(np.int64)), pa.array(at, pa.int32()), pa.array(body, pa.binary())],
-                    ["gram", "region", "at", "body"],
-                )
+                k, g, r, at, body = zip(*rows)
+                longs = [pa.array(np.array(x, U).view(np.int64)) for x in (k, g, r)]
+                yield pa.RecordBatch.from_arrays([*longs, pa.array(at, pa.int32()), pa.array(body, pa.binary())], ["place", "gram", "region", "at", "body"])
+
+    def places(g, at: int, body: bytes) -> list[int]:
+        """Where a region meets others: with its anchor, or with its anchor and either half."""
+        if not in_bloom(hot.value, [np.array([g], U)])[0]:
+            return [int(g)]
+        out = []
+        if at >= half:
+            out.append(b"L" + int(g).to_bytes(8, "little") + body[at - half : at])
+        if len(body) - at > length - half:
+            out.append(b"R" + int(g).to_bytes(8, "little") + body[at : at + length - half + 1])
+        return [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in out]
 
     def sort(batches):
-        group: list[tuple[int, bytes, int]] = []
+        group: list[tuple[int, int, bytes, int]] = []
         current = None
 
         def flush():
             if len(group) < 2:
                 return []
-            windows = shared_windows([(body, at) for _, body, at in group], length)
-            return [(current, r, a, z) for (r, _, _), ranges in zip(group, windows) for a, z in ranges]
+            windows = shared_windows([(body, at) for _, _, body, at in group], length)
+            return [(g, r, a, z) for (g, r, _, _), ranges in zip(group, windows) for a, z in set(ranges)]
+
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["gram", "region", "a", "z"])
 
         for batch in batches:
             out = []
-            for g, r, at, body in zip(*(batch.column(c).to_pylist() for c in ("gram", "region", "at", "body"))):
-                if g != current:
+            for k, g, r, at, body in zip(*(batch.column(c).to_pylist() for c in ("place", "gram", "region", "at", "body"))):
+                if k != current:
                     out += flush()
-                    group, current = [], g
-                if not group or group[-1][0] != r:
-                    group.append((r, body, at))
+                    group, current = [], k
+                if not group or group[-1][:2] != (g, r):
+                    group.append((g, r, body, at))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["gram", "region", "a", "z"])
+                yield batch_of(out)
         if out := flush():
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["gram", "region", "a", "z"])
+            yield batch_of(out)
 
-    brought = read.select("th", "text").mapInArrow(bring, "gram long, region long, at int, body binary")
-    brought = brought.repartition(tasks, "gram").sortWithinPartitions("gram", "region")
+    brought = read.select("th", "text").mapInArrow(bring, "place long, gram long, region long, at int, body binary")
+    brought = brought.repartition(tasks, "place").sortWithinPartitions("place", "gram", "region")
     ranges = brought.mapInArrow(sort, "gram long, region long, a long, z long")
     partial = ranges.join(edges.where("edge = 1"), ["gram", "region"]).select("th", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("z") + length).alias("end"))
     spans = met.where("edge = 0").select("th", "lo", "end").unionByName(partial)

@@ -41,7 +41,9 @@ def test_against_every_window(spark, length, gram):
     check(spark, [r for r in corpus(6, 60) if len(r[1] or "") < 20_000], length, gram)
 
 
-def test_passages_with_edges_of_all_kinds(spark):
+@pytest.mark.parametrize("many", [2000, 1])
+def test_passages_with_edges_of_all_kinds(spark, monkeypatch, many):
+    monkeypatch.setattr(sx, "HOT_REGIONS", many)
     rng = random.Random(9)
     passage = prose(rng, 120, 9000)
     rows = []
