@@ -14,20 +14,24 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 SPACE = r"[\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\x0c\r"
 WILD = "<*>"
 #: Leaves up to which their list is broadcast (8 bytes each); beyond it the join shuffles.
 BROADCAST_LEAVES = 1_000_000
 
 
 def masked_words(line: Column) -> Column:
-    words = F.filter(F.split(line, SPACE), lambda w: w != "")
-    return F.transform(words, lambda w: F.when(F.regexp_like(w, F.lit("[0-9]")), F.lit(WILD)).otherwise(w))
+    """The words of a trimmed line; only in lines with a digit are words looked at one by one."""
+    words = F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(line, SPACE))
+    masked = F.transform(words, lambda w: F.when(F.regexp_like(w, F.lit("[0-9]")), F.lit(WILD)).otherwise(w))
+    return F.when(F.regexp_like(line, F.lit("[0-9]")), masked).otherwise(words)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.xxhash64(text).alias("th"), F.octet_length(text).alias("size"), text.alias("text"))
     rows = rows.select("doc_id", "rid", "th", "size", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    rows = rows.withColumn("line", F.btrim("line", F.lit(BLANKS)))
     rows = rows.select("doc_id", "rid", "th", "size", "pos", masked_words(F.col("line")).alias("words"))
     n = F.size("words")
     return rows.select(
