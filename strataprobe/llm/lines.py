@@ -100,7 +100,8 @@ def drop_recurring_lines(
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), F.octet_length(text).alias("size"), text.alias("text"))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.get("gone", i)), "\n")
     lost = F.size(F.filter("gone", lambda g: g))
-    return base.join(per_text, (F.col("th") == F.col("t")) & (F.col("size") == F.col("s")), "left").select(
+    # flags pack to next to nothing on disk, so the planner's estimate of their size must not have them broadcast
+    return base.join(per_text.hint("merge"), (F.col("th") == F.col("t")) & (F.col("size") == F.col("s")), "left").select(
         "doc_id",
         F.when(F.col("gone").isNotNull(), kept).otherwise(F.col("text")).alias("text"),
         F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
