@@ -155,3 +155,99 @@ def root_paths(successors: dict[str, list[str]], most: int = 50) -> list[list[st
 
 def frame_of_paths(spark: SparkSession, paths: list[list[str]]) -> DataFrame:
     return spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "path_no int, nodes array<string>")
+
+
+def _ranked(nodes: DataFrame, prev: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes(node), prev(node, before), at most one before a node -> (node, top, dist) of the nodes whose line begins at
+    a top, and (node, least) of those on a ring, with the ring's least node. Pointers double, so the rounds grow
+    with the logarithm of a line, and a round keeps one row a node."""
+    known = F.col("before").isNotNull()
+    state = nodes.join(prev, "node", "left").select(
+        "node", F.coalesce("before", "node").alias("top"), F.when(known, 1).otherwise(0).cast("long").alias("dist"), (~known).alias("done"), F.least("node", F.coalesce("before", "node")).alias("least"), F.lit(False).alias("moved")
+    )
+    state, open_before = cut(state), -1
+    while True:
+        n_open, moved = state.agg(F.count_if(~F.col("done")), F.count_if("moved")).first()
+        # a line that isn't ranked to its end ends for some node in every round; a ring that isn't seen whole moves
+        if not n_open or (n_open == open_before and not moved):
+            break
+        t = state.select(F.col("node").alias("t_node"), F.col("top").alias("t_top"), F.col("dist").alias("t_dist"), F.col("done").alias("t_done"), F.col("least").alias("t_least"))
+        least = F.least("least", "t_least")
+        step = state.where(~F.col("done")).join(t, F.col("top") == F.col("t_node")).select(
+            "node", F.col("t_top").alias("top"), (F.col("dist") + F.col("t_dist")).alias("dist"), F.col("t_done").alias("done"), least.alias("least"), (least < F.col("least")).alias("moved")
+        )
+        state, open_before = cut(state.where("done").withColumn("moved", F.lit(False)).unionByName(step)), n_open
+    return state.where("done").select("node", "top", "dist"), state.where(~F.col("done")).select("node", "least")
+
+
+def stretches(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """edges(src, dst), nodes(node) that may have none -> (id, nodes, closed) and (a, b): nodes joined to unbranched stretches
+    that are named by their first node, closed for a ring beside the rest, and the edges from stretch to stretch."""
+    e = cut(edges.select("src", "dst").where("coalesce(src, '') <> '' and coalesce(dst, '') <> ''").distinct())
+    all_nodes = e.select(F.col("src").alias("node")).union(e.select("dst"))
+    if nodes is not None:
+        all_nodes = all_nodes.union(nodes.select("node").where("coalesce(node, '') <> ''"))
+    outs, ins = e.groupBy("src").agg(F.count("*").alias("n_out")), e.groupBy("dst").agg(F.count("*").alias("n_in"))
+    e = cut(e.join(outs, "src").join(ins, "dst").select("src", "dst", ((F.col("n_out") == 1) & (F.col("n_in") == 1)).alias("single")))
+    prev = e.where("single").select(F.col("dst").alias("node"), F.col("src").alias("before"))
+    lines, rings = _ranked(all_nodes.distinct(), prev)
+    opened = prev.join(rings, "node").where("node <> least").select("node", "before")
+    around, _ = _ranked(rings.select("node"), opened)
+    placed = cut(lines.withColumn("closed", F.lit(False)).unionByName(around.withColumn("closed", F.lit(True))))
+    parts = placed.groupBy("top", "closed").agg(F.array_sort(F.collect_list(F.struct("dist", "node"))).alias("n"))
+    links = e.where(~F.col("single")).join(placed, e["src"] == placed["node"]).select(F.col("top").alias("a"), F.col("dst").alias("b"))
+    return cut(parts.select(F.col("top").alias("id"), F.col("n.node").alias("nodes"), "closed")), cut(links)
+
+
+def all_root_paths(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(nodes): what root_paths gives without its bound, walked on the executors, one join a branching. nodes(node) adds nodes
+    without edges, each a path of its own."""
+    parts, links = stretches(edges, nodes)
+    starts = parts.where(~F.col("closed")).join(links.select(F.col("b").alias("id")), "id", "left_anti")
+    if not starts.take(1):
+        # every node starts a path, also inside a stretch
+        links = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("coalesce(a, '') <> '' and coalesce(b, '') <> ''").distinct()
+        parts = parts.select(F.explode("nodes").alias("id")).select("id", F.array("id").alias("nodes"))
+        starts = parts
+    onward = parts.select(F.col("id").alias("b"), F.col("nodes").alias("more"))
+    frontier, found = cut(starts.select("nodes", F.col("id").alias("a"))), []
+    while True:
+        step = cut(frontier.join(links, "a", "left").join(onward, "b", "left").withColumn("again", F.coalesce(F.array_contains("nodes", F.col("b")), F.lit(False))))
+        ended = F.col("b").isNull() | F.col("again")
+        found.append(step.where(ended).select(F.when(F.col("again"), F.concat("nodes", F.array("b"))).otherwise(F.col("nodes")).alias("nodes")))
+        frontier = step.where(~ended).select(F.concat("nodes", "more").alias("nodes"), F.col("b").alias("a"))
+        if not frontier.take(1):
+            break
+    return _union(found)
+
+
+def all_cycles(edges: DataFrame) -> DataFrame:
+    """(nodes): every cycle that meets no node twice, from its least node on and closed with it, walked on the executors.
+    cycles() gives those of them that back edges close."""
+    parts, links = stretches(edges)
+    found = [parts.where("closed").select("nodes")]
+    n = links.count()
+    while n:  # what has no way in or no way out is on no cycle
+        kept = links.join(links.select(F.col("b").alias("a")), "a", "left_semi").join(links.select(F.col("a").alias("b")), "b", "left_semi")
+        before, links = n, cut(kept.select("a", "b"))
+        n = links.count()
+        if n == before:
+            break
+    onward = parts.select(F.col("id").alias("b"), F.col("nodes").alias("more"))
+    frontier = parts.select(F.col("id").alias("start"), F.array("id").alias("ids"), "nodes", F.col("id").alias("a")).join(links.select("a"), "a", "left_semi")
+    while n:
+        step = cut(frontier.join(links, "a").where((F.col("b") >= F.col("start")) & ((F.col("b") == F.col("start")) | ~F.array_contains("ids", F.col("b")))).join(onward, "b"))
+        found.append(step.where("b = start").select("nodes"))
+        frontier = step.where("b > start").select("start", F.concat("ids", F.array("b")).alias("ids"), F.concat("nodes", "more").alias("nodes"), F.col("b").alias("a"))
+        if not frontier.take(1):
+            break
+    k = F.array_position("nodes", F.array_min("nodes")).cast("int")
+    turned = F.concat(F.slice("nodes", k, F.size("nodes")), F.slice("nodes", F.lit(1), k - 1), F.array(F.array_min("nodes")))
+    return _union(found).select(turned.alias("nodes"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

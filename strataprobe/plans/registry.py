@@ -382,17 +382,20 @@ def graph_within(spark, sf_dir):
 
 @query("graph_paths", f"SELECT string_agg(node, '>' ORDER BY turn) AS path FROM ({TURNS}) WHERE conv_id IN (5, 6) GROUP BY conv_id")
 def graph_paths(spark, sf_dir):
-    part = turn_edges(spark, sf_dir).where(F.split("src", "-")[0].isin("5", "6"))
-    paths = graphs.root_paths(graphs.collect_subgraph(part))
-    return graphs.frame_of_paths(spark, paths).select(F.array_join("nodes", ">").alias("path"))
+    """Every chain of turns of every conversation. The SQL holds conversations 5 and 6 alone."""
+    node = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("node")
+    paths = graphs.all_root_paths(turn_edges(spark, sf_dir), table(spark, sf_dir, "conversations").select(node))
+    return paths.select(F.array_join("nodes", ">").alias("path"))
 
 
 @query("graph_cycles")
 def graph_cycles(spark, sf_dir):
-    """The turns of conversation 5 closed to a ring, beside the chain of conversation 6: one cycle."""
-    part = turn_edges(spark, sf_dir).where(F.split("src", "-")[0].isin("5", "6")).select("src", "dst")
-    last = part.where("src like '5-%'").agg(F.max(F.struct(F.split("dst", "-")[1].cast("int"), "dst")).alias("m")).select(F.col("m.dst").alias("src"), F.lit("5-0").alias("dst"))
-    return graphs.frame_of_paths(spark, graphs.cycles(graphs.collect_subgraph(part.union(last)))).select(F.array_join("nodes", ">").alias("path"))
+    """The turns of every conversation, its last linked turn closed to its first: one cycle a conversation, unless turns
+    are missing in between."""
+    part = turn_edges(spark, sf_dir).select("src", "dst")
+    turn = lambda c: F.split(c, "-")[1].cast("long")
+    ends = part.groupBy(F.split("src", "-")[0]).agg(F.max_by("dst", turn("dst")).alias("src"), F.min_by("src", turn("src")).alias("dst"))
+    return graphs.all_cycles(part.union(ends.select("src", "dst"))).select(F.array_join("nodes", ">").alias("path"))
 
 
 # association and review --------------------------------------------------------------------------

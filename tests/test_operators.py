@@ -99,6 +99,53 @@ def test_walks():
     assert graphs.root_paths(ring) == [["x", "y", "x"], ["y", "x", "y"]]
 
 
+def every_cycle(s):
+    """Each cycle without a node met twice, from its least node on."""
+    out = set()
+
+    def go(path):
+        for n in s[path[-1]]:
+            if n == path[0]:
+                out.add((*path, n))
+            elif n > path[0] and n not in path:
+                go([*path, n])
+
+    for n in s:
+        go([n])
+    return sorted(out)
+
+
+def test_walks_over_a_whole_graph(spark):
+    rng = random.Random(4)
+    chains = [(f"{c}-{t}", f"{c}-{t + 1}") for c in range(70) for t in range(c % 5 + 1)] + [(f"long-{t:03}", f"long-{t + 1:03}") for t in range(90)]
+    rings = [(f"r{c}-{t}", f"r{c}-{(t + 1) % c}") for c in (1, 2, 3, 8) for t in range(c)] + [("ring-tail", "r3-1")]
+    cases = [chains, chains + rings, rings, [("x", "y"), ("y", "x")]]
+    cases += [[(str(rng.randrange(9)), str(rng.randrange(9))) for _ in range(n)] for n in (6, 9, 12)]
+    for pairs in cases:
+        s: dict[str, list[str]] = {}
+        for a, b in sorted(set(pairs)):
+            s.setdefault(a, []).append(b)
+            s.setdefault(b, [])
+        got = [r["nodes"] for r in graphs.all_root_paths(edges(spark, pairs)).collect()]
+        assert sorted(got) == sorted(graphs.root_paths(s, most=10**9))
+        got = [tuple(r["nodes"]) for r in graphs.all_cycles(edges(spark, pairs)).collect()]
+        assert sorted(got) == every_cycle(s) and {tuple(c) for c in graphs.cycles(s)} <= set(got)
+    alone = spark.createDataFrame([("a",), ("only",)], "node string")
+    assert rows(graphs.all_root_paths(edges(spark, [("a", "b")]), alone), "nodes") == [(["a", "b"],), (["only"],)]
+
+
+def test_paths_and_cycles_take_every_conversation(spark, tmp_path):
+    from strataprobe.plans import registry
+
+    turns = [(c, t) for c in range(3, 63) for t in range(c % 4 + 1)] + [(99, 0), (99, 1), (99, 3), (99, 12)]
+    spark.createDataFrame(turns, "conv_id long, turn long").write.parquet(f"{tmp_path}/conversations.parquet")
+    lines = [[f"{c}-{t}" for t in range(c % 4 + 1)] for c in range(3, 63)]
+    want = [">".join(x) for x in lines] + ["99-0>99-1", "99-3", "99-12"]
+    assert rows(registry.graph_paths(spark, str(tmp_path)), "path") == sorted((x,) for x in want)
+    want = [">".join([*x, x[0]]) for x in lines if len(x) > 1] + ["99-0>99-1>99-0"]
+    assert rows(registry.graph_cycles(spark, str(tmp_path)), "path") == sorted((x,) for x in want)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6)), max_size=12))
 def test_cycles_are_found_exactly_when_there_are_some(pairs):
