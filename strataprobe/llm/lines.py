@@ -2,8 +2,9 @@
 
 A line falls through a tree of fixed depth: by its number of words, then by its leading words, where
 words with a digit are one wildcard. In a leaf, the positions whose words vary become wildcards as well;
-lines near enough to the leaf's template take it, others are templates of their own. Lines whose
-template recurs in enough documents are dropped.
+lines near enough to the leaf's template take it, others are templates of their own. A leaf may hold several
+families of lines, so that each set of words frequent at their positions is a template beside it. Lines with a
+template that recurs in enough documents are dropped.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 WILD = "<*>"
 #: Leaves up to which their list is broadcast (8 bytes each); beyond it the join shuffles.
 BROADCAST_LEAVES = 1_000_000
+#: Parts over which the lines that share a frequent word are dealt.
+WORD_SALTS = 16
 
 
 def masked_words(line: Column) -> Column:
@@ -52,7 +55,9 @@ def drop_recurring_lines(
 
     Lines are cut at \\n. A line without words is never dropped. Words are runs of other characters than ASCII white space. A position of a leaf is constant
     if one word has at least `constant` of the leaf's documents there; a line takes the leaf's template if at least
-    `similar` of its words are the template's constants. A template recurs if lines of at least
+    `similar` of its words are the template's constants. Besides, at every threshold of min_docs times a power of two,
+    the words that as many of the leaf's documents have at a position are a line's constants there, and lines of equal
+    constants share a template, if these are at least `similar` of the line's words without a digit. A template recurs if lines of at least
     min_docs rows of docs have it. A null text counts as empty, one line. Repeated rows count as
     documents of their own. An empty table gives no rows; other columns are ignored.
 
@@ -82,7 +87,9 @@ def drop_recurring_lines(
     general = placed.where("general").select("leaf", "sig")
     within = slim.select("leaf", "sig", "rid").join(general, ["leaf", "sig"]).select("leaf", "rid").distinct().groupBy("leaf").count()
     often = general.join(within.where(F.col("count") >= min_docs).select("leaf"), "leaf").select("leaf", "sig")
-    gone = alone.unionByName(often).withColumn("gone", F.lit(True))
+    gone = written(alone.unionByName(often), "gone")
+    gone = gone.unionByName(_families(varied, gone, slim, min_docs, similar)).distinct().withColumn("gone", F.lit(True))
+    gone = written(gone, "gone")
     marked = slim.where("n > 0").join(gone, ["leaf", "sig"]).select("rid", "pos").groupBy("rid").agg(F.count("*").alias("n_dropped"))
     per_row = slim.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n_lines"), F.first("th").alias("th"), F.first("size").alias("size"))
     facts = written(per_row.join(marked, "rid", "left"), "facts")
@@ -109,6 +116,30 @@ def drop_recurring_lines(
     )
 
 
+def _families(varied: DataFrame, gone: DataFrame, slim: DataFrame, min_docs: int, similar: float) -> DataFrame:
+    """(leaf, sig) of the lines that a set of frequent words makes recur, in leaves where not all lines are gone."""
+    left = varied.select("leaf", "sig").join(gone, ["leaf", "sig"], "left_anti").withColumn("left", F.lit(True))
+    left = written(left, "left")
+    open_leaves = left.select("leaf").distinct()
+    some = varied.join(open_leaves, "leaf").select("leaf", "sig", "words", "docs")
+    words = some.select("leaf", "sig", "docs", F.posexplode("words").alias("at", "word")).where(F.col("word") != WILD)
+    frequent = words.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("all")).where(F.col("all") >= min_docs)
+    level = F.floor(F.log2(F.col("all") / F.lit(float(min_docs)))).cast("int").alias("level")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(WORD_SALTS - 1))).alias("salt")
+    held = words.withColumn("salt", F.pmod("sig", F.lit(WORD_SALTS)).cast("int")).join(frequent.select("leaf", "at", "word", level, salts), ["leaf", "at", "word", "salt"])
+    held = held.groupBy("leaf", "sig").agg(F.first("docs").alias("docs"), F.array_sort(F.collect_list(F.struct("at", "word", "level"))).alias("held"))
+    held = held.join(some.select("leaf", "sig", F.size(F.filter("words", lambda w: w != WILD)).alias("plain")), ["leaf", "sig"])
+    made = held.select("leaf", "sig", "docs", "plain", "held", F.explode(F.array_distinct(F.col("held.level"))).alias("least"))
+    made = made.withColumn("held", F.filter("held", lambda h: h["level"] >= F.col("least"))).where(F.size("held") >= similar * F.col("plain"))
+    made = made.select("leaf", "sig", "docs", F.xxhash64("leaf", "held").alias("family"))
+    made = written(made.join(left, ["leaf", "sig"], "left"), "families")
+    likely = made.groupBy("leaf", "family").agg(F.sum("docs").alias("docs"), F.count("*").alias("sigs"), F.max("left").alias("left"))
+    likely = likely.where((F.col("docs") >= min_docs) & (F.col("sigs") > 1) & F.col("left")).select("leaf", "family")
+    likely = written(made.join(likely, ["leaf", "family"]).select("leaf", "sig", "family", "left"), "likely")
+    within = slim.select("leaf", "sig", "rid").join(likely, ["leaf", "sig"]).select("leaf", "family", "rid").distinct().groupBy("leaf", "family").count()
+    return likely.where("left").join(within.where(F.col("count") >= min_docs), ["leaf", "family"]).select("leaf", "sig").distinct()
+
+
 def op6_line_templates(spark, sf_dir: str) -> DataFrame:
     out = drop_recurring_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))

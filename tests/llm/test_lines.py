@@ -60,6 +60,38 @@ def test_variable_fields_are_generalised(spark):
     assert all("logged in" not in t and "footer" not in t and "session" not in t and "kept line" in t for t in got.values())
 
 
+def families(scale):
+    """Lines with several fields, two families of one leaf, and one that others outnumber; each in a document of its own, beside
+    a line of its own."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda k: letters[k % 26] + letters[k // 26 % 26] + letters[k // 676]
+    lines = []
+    for k in range(8 * scale):
+        lines.append(f"2024-01-{k % 28 + 1:02} 12:30:{k % 60:02} user {name(k)} logged in from 10.0.0.{k}")
+        lines.append(f"job state changed to {name(k)} by the night planner")
+        lines.append(f"job state changed after {name(k)} left its old node")
+    for k in range(60 * scale):
+        lines.append(f"job state changed {name(k)} {name(k + 1)} {name(k + 3)} {name(k + 5)} {name(k + 7)} {name(k + 9)}")
+    return [(k, f"{x}\nonly {name(k)} {name(k + 2)} says this", "en", "s") for k, x in enumerate(lines)]
+
+
+def test_several_fields_and_families(spark):
+    for scale in (1, 6):
+        rows = families(scale)
+        got = {r["doc_id"]: r["text"] for r in lines.drop_recurring_lines(frame(spark, rows)).collect()}
+        for k, text, _, _ in rows:
+            own = text.split("\n")[1]
+            stays = k >= 24 * scale
+            assert got[k] == (text if stays else own), (scale, text)
+
+
+def test_families_need_documents_and_words(spark):
+    few = [(k, f"job state changed to {'abcd'[k % 4] * 3} by the night planner\njob state changed to {'wxyz'[k % 4] * 3} by the night planner", "en", "s") for k in range(4)]
+    unlike = [(k + 10, f"one two three {'pqrstuv'[k] * 4} {'ghijklm'[k] * 5} six", "en", "s") for k in range(7)]
+    got = {r["doc_id"]: r["text"] for r in lines.drop_recurring_lines(frame(spark, few + unlike)).collect()}
+    assert got == {d: t for d, t, _, _ in few + unlike}
+
+
 def test_sql(spark):
     rows = rows_with_logs()
     documents = frame(spark, rows, clash=False).toPandas()  # noqa: F841  DuckDB finds it by name
