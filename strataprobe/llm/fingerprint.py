@@ -158,7 +158,10 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     least, cuts = rows.agg(F.min("k"), F.percentile_approx("k", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()
     if least is None:
         return rows.select(F.lit(0).alias("part"), F.lit(0).alias("ahead"), "k", F.lit(0).cast("long").alias("tie"), "doc_id", "text")
-    starts = sorted({least, *cuts}) if parts > 1 else [least]  # at most one a partition
+    # cuts come rounded to double: the least id at or above each is the bound, so that a row holds it
+    bin_of = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]), lambda c: c <= F.col("k")))
+    found = rows.groupBy(bin_of.alias("bin")).agg(F.min("k").alias("k")).collect() if parts > 1 else []
+    starts = sorted({least, *(r["k"] for r in found)})  # at most one a partition
     n = len(starts)
     bounds = F.array(*[F.lit(s).cast("long") for s in starts])
     part = F.size(F.filter(bounds, lambda s: s <= F.col("k"))) - 1

@@ -64,3 +64,13 @@ def test_lone_and_empty(spark):
     one = fp.fingerprints(frame(spark, [(7, "abcd", "en", "s")])).collect()
     assert len(one) == 1 and one[0]["edited_sha256"] == hashlib.sha256(b"abab").hexdigest()
     assert fp.fingerprints(frame(spark, corpus()).where("false")).count() == 0
+
+
+def test_ids_that_doubles_cannot_hold(spark):
+    for base in (2**60 + 1, -(2**63)):
+        rows = [(base + 3 * i, f"text {i} " * 9, "en", "s") for i in range(120)]
+        got = {r["doc_id"]: r["edited_sha256"] for r in fp.fingerprints(frame(spark, rows)).collect()}
+        assert sorted(got) == [r[0] for r in rows]
+        for (k, a, _, _), (_, b, _, _) in zip(rows, rows[1:] + rows[:1]):
+            cut = len(a) // 2
+            assert got[k] == hashlib.sha256((a[: len(a) - cut] + b[:cut]).encode()).hexdigest()
