@@ -17,6 +17,15 @@ def test_components_against_union_find(spark):
         assert got == {x: want[x] for x in touched}
 
 
+def test_hubs_are_dealt_out(spark, monkeypatch):
+    from strataprobe.llm import common
+
+    monkeypatch.setattr(common, "HUB_EDGES", 7)
+    links = [(0, i) for i in range(1, 60)] + [(100, 61 + i) for i in range(30)] + [(59, 61), (200, 201)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "src long, dst long")).collect()}
+    assert got == {x: 200 if x >= 200 else 0 for a, b in links for x in (a, b)}
+
+
 def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
@@ -26,6 +35,44 @@ def test_written_survives_and_uses_the_shared_folder(spark):
     assert df.count() == 10 and df.scratch.startswith(shared_dir(spark))
 
 
+def test_settings_come_back_after_threads(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from strataprobe.llm.common import CUT_CONF
+
+    before = {k: spark.conf.get(k, None) for k in CUT_CONF}
+    with ThreadPoolExecutor(4) as pool:
+        assert sum(pool.map(lambda i: written(spark.range(i)).rows, range(12))) == 66
+    assert {k: spark.conf.get(k, None) for k in CUT_CONF} == before
+
+
+def test_large_cuts_are_not_broadcast(spark):
+    big, small = written(spark.range(2_000_000).selectExpr("id", "id % 3 as k")), written(spark.range(3))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan(spark.range(9).join(big, "id")) and "strategy" not in plan(spark.range(9).join(small, "id"))
+
+
+def test_a_cluster_needs_its_shared_folder():
+    import pytest
+
+    from strataprobe.llm import common
+
+    class Part:
+        master = "spark://host:7077"
+
+        def get(self, *a):
+            return None
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf = sparkContext = Part()
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session())
+
+
 def test_ascii_lower(spark):
     df = spark.createDataFrame([("ABC É İ",), ("AbC",)], "t string")
     assert [r[0] for r in df.select(ascii_lower(df["t"])).collect()] == ["abc É İ", "abc"]
