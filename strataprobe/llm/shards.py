@@ -3,23 +3,29 @@
 Arrivals become small immutable Parquet files at once. Compaction takes the files under target size
 tier by tier (each tier `fanout` times the size of the one below), and merges a tier's run into files of the
 target size. Every change is a new manifest: the table of files is written first, then one small
-version file is renamed into place, so readers see the old version or the new one.
+version file is renamed into place, so readers see the old version or the new one. Of two writers the later one
+builds on what the earlier committed; files are deleted by vacuum() alone, and only long after.
+
+The driver holds file names (about 100 bytes each), never rows: one for each target_bytes of data and for each
+small shard that waits for compaction.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hadoop_path, scratch_path, table
+from .common import hadoop_path, output_path, table
 
 FILE_SCHEMA = "file string, bytes long, rows long"
 MARKS = ("shard_id", "shard_version")
+DAY = 86_400
 
 
 class ConflictError(RuntimeError):
@@ -43,10 +49,12 @@ class ShardStore:
 
     def head(self, version: int | None = None) -> dict | None:
         found = self.versions()
+        if version is not None and version not in found:
+            raise LookupError(f"version {version} is not there; vacuum() keeps the last ones only")
         if not found:
             return None
-        fs, at = hadoop_path(self.spark, f"{self.root}/versions/v{version or found[-1]:08d}.json")
-        stream = fs.open(at)
+        fs, _ = hadoop_path(self.spark, self.root)
+        stream = fs.open(self._version_path(version or found[-1]))
         try:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
@@ -69,7 +77,7 @@ class ShardStore:
         out.write(bytearray(json.dumps(head).encode()))
         out.close()
         jvm = self.spark._jvm
-        final = jvm.org.apache.hadoop.fs.Path(f"{self.root}/versions/v{version:08d}.json")
+        final = self._version_path(version)
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(temp.toUri(), self.spark._jsc.hadoopConfiguration())
         none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
@@ -82,21 +90,30 @@ class ShardStore:
         return version
 
     def _listed(self, path: str, schema: T.StructType) -> DataFrame:
-        """The non-empty files under a path, counted where they lie; only footers are read."""
+        """The non-empty files under a path, counted where they lie. No column is read: batches come with
+        their number of rows, from the footers."""
         rows = self.spark.read.schema(schema).parquet(path).select(
             F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")
         )
         return rows.groupBy("file", "bytes").agg(F.count("*").alias("rows"))
 
     # changes -------------------------------------------------------------------------------------
-    def append(self, df: DataFrame) -> int:
-        """Adds df's rows: each of its partitions is a shard. Returns the new version."""
+    def append(self, df: DataFrame, attempts: int = 20) -> int:
+        """Adds df's rows: each of its partitions is a shard. Returns the new version. The data is written once;
+        where another writer commits first, only the manifest is made anew. An empty df makes a version
+        that names no further file. Columns are those of the first append, by name."""
         head = self.head()
         schema = T.StructType.fromJson(json.loads(head["schema"])) if head else T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
         path = f"{self.root}/data/a{uuid.uuid4().hex[:12]}"
         df.select(*[F.col(f"`{f.name}`") for f in schema]).write.option("compression", "zstd").parquet(path)
-        files = self.files().unionByName(self._listed(path, schema))
-        return self._commit(files, schema, head["version"] if head else 0)
+        listed = self._listed(path, schema)
+        for _ in range(attempts):
+            head = self.head()
+            try:
+                return self._commit(self.files().unionByName(listed), schema, head["version"] if head else 0)
+            except ConflictError:
+                continue
+        raise ConflictError(f"no commit in {attempts} attempts; the data lies in {path}")
 
     def tier(self, size: int) -> int:
         """0: at least half the target and left alone; k: about fanout^-k of it."""
@@ -131,51 +148,73 @@ class ShardStore:
                 listed = self._listed(path, schema)
                 merged = listed if merged is None else merged.unionByName(listed)
                 gone += names
-            old = self.spark.createDataFrame([(n,) for n in gone], "file string")
-            files = self.files().join(old, "file", "left_anti").unionByName(merged)
-            version = self._commit(files, schema, head["version"])
-            if self.files().count() >= before:
-                return version
+            if self._replace(merged, gone, schema) and self.files().count() >= before:
+                break
         return self.head()["version"]
 
+    def _replace(self, merged: DataFrame, gone: list[str], schema: T.StructType, attempts: int = 20) -> bool:
+        """Commits merged files in the place of those they hold. False if another compaction took some of
+        these first: then what was merged is left to vacuum()."""
+        old = self.spark.createDataFrame([(n,) for n in gone], "file string")
+        for _ in range(attempts):
+            head, files = self.head(), self.files()
+            if files.join(old, "file", "left_semi").count() < len(gone):
+                return False
+            try:
+                self._commit(files.join(old, "file", "left_anti").unionByName(merged), schema, head["version"])
+                return True
+            except ConflictError:
+                continue
+        return False
+
     def _merge(self, names: list[str], schema: T.StructType, path: str) -> None:
-        packing = {
-            "spark.sql.files.maxPartitionBytes": str(self.target_bytes),
-            "spark.sql.files.openCostInBytes": "0",
-            "spark.sql.files.minPartitionNum": "1",
-        }
-        before = {k: self.spark.conf.get(k, None) for k in packing}
-        try:
-            for k, v in packing.items():
-                self.spark.conf.set(k, v)
-            self.spark.read.schema(schema).parquet(*names).write.option("compression", "zstd").parquet(path)
-        finally:
-            for k, v in before.items():
-                if v is None:
-                    self.spark.conf.unset(k)
-                else:
-                    self.spark.conf.set(k, v)
-
-    def vacuum(self) -> int:
-        """Deletes data files that the latest version doesn't name; returns how many."""
-        live = {r["file"].rpartition("/")[2] for r in self.files().select("file").toLocalIterator()}
+        session = self.spark.newSession()  # so that no one else's reads are packed like this
+        session.conf.set("spark.sql.files.maxPartitionBytes", str(self.target_bytes))
+        session.conf.set("spark.sql.files.openCostInBytes", "0")
+        session.conf.set("spark.sql.files.minPartitionNum", "1")
+        session.read.schema(schema).parquet(*names).write.option("compression", "zstd").parquet(path)
+
+    def vacuum(self, keep_versions: int = 10, min_age_s: float = 7 * DAY) -> int:
+        """Forgets all but the last keep_versions versions, then deletes data files that none of these names, if
+        they are older than min_age_s; returns how many. min_age_s must exceed what an append or a compaction
+        may take from its first file to its commit, and what a reader may take, as their files are not named yet
+        or no longer. Versions that stay can be read in full."""
         fs, at = hadoop_path(self.spark, f"{self.root}/data")
-        gone = 0
         if not fs.exists(at):
             return 0
+        before = (time.time() - min_age_s) * 1000
+        versions = self.versions()
+        for v in versions[:-keep_versions]:
+            table_ = self.head(v)["table"]
+            fs.delete(self._version_path(v), False)
+            fs.delete(hadoop_path(self.spark, table_)[1], True)
+        live = set()
+        for v in versions[-keep_versions:]:
+            live |= {self._name(r["file"]) for r in self.files(v).select("file").toLocalIterator()}
+        gone = 0
         found = fs.listFiles(at, True)
         while found.hasNext():
-            p = found.next().getPath()
-            if p.getName().endswith(".parquet") and p.getName() not in live:
-                fs.delete(p, False)
+            status = found.next()
+            name = status.getPath().toString()
+            if name.endswith(".parquet") and self._name(name) not in live and status.getModificationTime() <= before:
+                fs.delete(status.getPath(), False)
                 gone += 1
         return gone
 
+    @staticmethod
+    def _name(file: str) -> str:
+        return "/".join(file.split("/")[-2:])  # folder and file, however the path begins
+
+    def _version_path(self, version: int):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/versions/v{version:08d}.json")
+
     # reading -------------------------------------------------------------------------------------
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version with shard_id (the file's folder and name) and shard_version; columns of those
         names in the data give way. The id comes with the file's rows, so nothing is joined."""
         head = self.head(version)
+        if head is None:
+            raise LookupError(f"nothing was committed under {self.root}")
         schema = T.StructType.fromJson(json.loads(head["schema"]))
         names = [r["file"] for r in self.files(version).select("file").toLocalIterator()]
         data = [F.col(f"`{f.name}`") for f in schema if f.name.lower() not in MARKS]
@@ -188,15 +227,16 @@ class ShardStore:
 
 def shard(docs: DataFrame, root: str | None = None, target_bytes: int = 128 << 20) -> DataFrame:
     """docs, appended to a store as they come and compacted, read back by the committed manifest:
-    all rows and columns, repeated rows included, with shard_id and shard_version."""
+    all rows and columns, repeated rows included, with shard_id and shard_version. root: where the store is or is
+    to be, by default a new place in the shared folder. The store stays there; vacuum() is the caller's."""
     spark = docs.sparkSession
-    store = ShardStore(spark, root or scratch_path(spark, "shards"), target_bytes)
+    store = ShardStore(spark, root or output_path(spark, "shards"), target_bytes)
     store.append(docs)
     store.compact()
-    store.vacuum()
     return store.read()
 
 
 def op7_shard(spark, sf_dir: str) -> DataFrame:
+    """doc_id, shard_id, shard_version and n_bytes of every document, as the committed shards hold them."""
     docs = table(spark, sf_dir, "documents")
     return shard(docs).select("doc_id", "shard_id", "shard_version", F.octet_length("text").cast("long").alias("n_bytes"))
