@@ -72,5 +72,27 @@ def test_better_quality_is_taken_more_often(spark):
     assert by[1] > by[0]
 
 
+@pytest.mark.parametrize("text", ["12345 678", "words of letters"])
+def test_no_bucket_holds_a_source(spark, text, monkeypatch):
+    """A source of one quality, however low: its windows stay small."""
+    from strataprobe.llm import mixing
+
+    cuts = []
+    monkeypatch.setattr(mixing, "written", lambda df, name: cuts.append(df) or df)
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.lit("one").alias("source"))
+    mix(docs)
+    sizes = cuts[1]  # bucket sums
+    assert sizes.agg((F.max("bucket_size") / F.sum("bucket_size")).alias("x")).first()["x"] < 0.01
+
+
+def test_given_qualities(spark):
+    rows = [(i, "words of letters", "en", "a" if i < 400 else "b") for i in range(500)] + [(500, "one more", "en", "b"), (501, None, "en", "b")]
+    q = F.when(F.col("doc_id") % 2 == 0, 0.9).when(F.col("doc_id") < 500, 0.05)
+    out = mix(frame(spark, rows, clash=False), weights=(1, 30), quality=q)
+    assert out.count() == 502
+    by = {r["good"]: r["x"] for r in out.where("source = 'a'").groupBy((F.col("doc_id") % 2 == 0).alias("good")).agg(F.sum("taken").alias("x")).collect()}
+    assert by[True] - 600 > 5 * (by[False] - 600)  # 600 words each by the whole epoch
+
+
 def test_empty(spark):
     assert mix(frame(spark, corpus()).where("false")).count() == 0
