@@ -2,7 +2,8 @@
 
 A page's own rule decides first. Redirects and canonical links make urls aliases: connected
 components over those edges carry a block decision to every alias that has no rule of its own,
-unless some alias is explicitly allowed.
+unless some alias is explicitly allowed. Links are taken as a browser would: relative to the page's url,
+schemes and hosts whatever their case.
 """
 
 from __future__ import annotations
@@ -17,8 +18,11 @@ URL = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 CANONICAL = r"""(?is)<link\s[^>]*?rel\s*=\s*["']?canonical["']?[^>]*>"""
 REFRESH = r"""(?is)<meta\s[^>]*?http-equiv\s*=\s*["']?refresh["']?[^>]*>"""
-HREF = r"""(?is)href\s*=\s*["']?([^"'\s>]+)"""
-REFRESH_URL = r"""(?is)url\s*=\s*["']?([^"'\s>]+)"""
+HREF = r"""(?is)\shref\s*=\s*["']?\s*([^"'\s>]+)"""
+REFRESH_URL = r"""(?is)url\s*=\s*["']?\s*([^"'\s>]+)"""
+#: scheme, host and port, path, query
+PARTS = r"(?s)\A([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
+SCHEME = r"\A[A-Za-z][A-Za-z0-9+.\-]*:"
 
 
 def url_host(url: Column) -> Column:
@@ -33,18 +37,51 @@ def without_fragment(url: Column) -> Column:
     return F.regexp_extract(url, r"(?s)\A([^#]*)", 1)
 
 
+def url_node(url: Column) -> Column:
+    """A url as aliases are compared: without fragment, scheme and host in lower case."""
+    parts = lambda i: F.regexp_extract(url, PARTS, i)
+    known = F.concat(F.lower(parts(1)), F.lit("://"), F.translate(parts(2), UPPER, LOWER), parts(3), parts(4))
+    return F.when(parts(1) != "", known).otherwise(without_fragment(url))
+
+
+def without_dots(path: Column) -> Column:
+    """A path with its segments . and .. worked off."""
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x)))
+    parts = F.split(path, "/")
+    short = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    closed = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(short, F.lit("/"))).otherwise(short)
+    return F.when(F.contains(path, F.lit("/.")), closed).otherwise(path)
+
+
+def resolved(base: Column, link: Column) -> Column:
+    """A link in a page of the url base, as an absolute url; null if it leads nowhere (mailto:, javascript:, a
+    fragment alone) or base is none."""
+    scheme, host, path = (F.regexp_extract(base, PARTS, i) for i in (1, 2, 3))
+    link = F.regexp_replace(without_fragment(link), "&amp;", "&")
+    target, query = F.regexp_extract(link, r"(?s)\A([^?]*)", 1), F.regexp_extract(link, r"(?s)\A[^?]*(\?.*)", 1)
+    root = F.concat(scheme, F.lit("://"), host)
+    folder = F.regexp_extract(path, r"(?s)\A(.*/)", 1)
+    folder = F.when(folder == "", "/").otherwise(folder)
+    return (
+        F.when(F.regexp_like(link, F.lit(r"\A[A-Za-z][A-Za-z0-9+.\-]*://")), link)
+        .when((scheme == "") | (link == "") | F.regexp_like(link, F.lit(SCHEME)), F.lit(None))
+        .when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link))
+        .when(F.startswith(link, F.lit("?")), F.concat(root, path, link))
+        .when(F.startswith(link, F.lit("/")), F.concat(root, without_dots(target), query))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, target)), query))
+    )
+
+
 def html_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst): absolute canonical links and meta refreshes found in the pages' html."""
+    """(src, dst): all canonical links and meta refreshes in the pages' html, as nodes. A link of a page to itself is
+    left out."""
     html = F.coalesce(F.col(html_col), F.lit(""))
-    found = F.array(
-        F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1),
-        F.regexp_extract(F.regexp_extract(html, REFRESH, 0), REFRESH_URL, 1),
-    )
+    tags = lambda tag, at: F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, at, 1))
     return (
         pages.where(F.col(url_col).isNotNull())
-        .select(without_fragment(F.col(url_col)).alias("src"), F.explode(found).alias("dst"))
-        .where(F.col("dst").contains("://"))
-        .select("src", without_fragment(F.col("dst")).alias("dst"))
+        .select(F.col(url_col).alias("base"), F.explode(F.concat(tags(CANONICAL, HREF), tags(REFRESH, REFRESH_URL))).alias("link"))
+        .select(url_node(F.col("base")).alias("src"), url_node(resolved(F.col("base"), F.col("link"))).alias("dst"))
+        .where("dst is not null and src <> dst")
         .distinct()
     )
 
@@ -87,16 +124,17 @@ def judge_urls(
     """page_id, host, path, rule, verdict, via for every row of pages (repeated rows each get one).
 
     via is 'rule', 'alias' (a block came over links) or 'default' (allow). links(src, dst) adds known
-    redirects to those in the html. A url without '://' or a null url has empty host and path, no rule and no
-    aliases: allow. Urls are compared without their fragment. Urls only seen as link targets count
-    as aliases too. A component that holds an explicit allow does not pass blocks on. Other columns
-    are ignored.
+    redirects, absolute urls, to those in the html; null ends are dropped. A url without '://' or a null url has
+    empty host and path, no rule and no aliases: allow. Urls are compared as url_node has them, query included;
+    an empty path and / differ. Urls only seen as link targets count
+    as aliases too. A component that holds an explicit allow does not pass blocks on. Texts are searched whole
+    whatever their length. An empty table gives no rows. Other columns are ignored.
     """
     cols = [F.col(id_col).alias("page_id"), F.col(url_col).alias("url")]
-    page = pages.select(*cols, without_fragment(F.col(url_col)).alias("node"))
+    page = pages.select(*cols, url_node(F.col(url_col)).alias("node"))
     edges = html_links(pages, url_col, html_col) if html_col else None
     if links is not None:
-        known = links.select(without_fragment(F.col("src")).alias("src"), without_fragment(F.col("dst")).alias("dst"))
+        known = links.select(url_node(F.col("src")).alias("src"), url_node(F.col("dst")).alias("dst")).where("src is not null and dst is not null")
         edges = known if edges is None else edges.unionByName(known)
     nodes = page.select("node").where("node is not null")
     if edges is not None:
@@ -105,7 +143,7 @@ def judge_urls(
     hits = written(rule_hits(nodes.distinct(), rules), "hits")
     own = hits.select("node", "rule", "ruled")
     out = page.join(own, "node", "left")
-    if edges is not None and edges.take(1):
+    if edges is not None and edges.rows:
         comp = written(components(edges), "aliases")
         spread = (
             comp.join(hits, "node")
@@ -130,6 +168,7 @@ def judge_urls(
 
 
 def op4_url_filter(spark, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict of every page by RULES and the links in its html."""
     return judge_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 

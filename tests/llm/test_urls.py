@@ -49,6 +49,28 @@ def test_blocks_reach_aliases_but_not_past_an_allow(spark):
     assert got == {1: ("block", "alias"), 2: ("block", "alias"), 3: ("block", "alias"), 4: ("allow", "default"), 5: ("allow", "rule"), 6: ("allow", "default"), 7: ("allow", "default")}
 
 
+def test_links_are_resolved(spark):
+    refresh = lambda to: f'<meta content="3;URL={to}" http-equiv=refresh>'
+    rows = [
+        (1, "http://a.com/x/1", link("//evil.net/x")),  # protocol-relative
+        (2, "http://b.com/2", link("/3")),  # to 3, which refreshes to a blocked host
+        (3, "http://b.com/3", refresh("https://EVIL.net/y#top")),
+        (4, "HTTP://C.com/d/e", link("../f?a=1&amp;b=2")),
+        (5, "http://c.com/f?a=1&b=2", refresh("HTTP://evil.NET/z")),
+        (6, "http://d.com/1", link("http://fine.com/1") + refresh("http://fine.com/2") + link("http://evil.net/w")),  # all tags count
+        (7, "http://e.com/1", link("mailto:me@x.net") + link("#top") + link("") + refresh("javascript:go(1)")),
+        (8, "http://m.com/en/p", link("http://example.com/de/x")),
+        (9, "http://M.com/en/q?k", link("p")),
+        (10, "no scheme", link("//evil.net/x")),
+        (11, "http://f.com?q", link("?r")),
+        (12, "http://f.com?r", link("./.././evil")),
+        (13, "http://f.com/evil", "x" * 200_000 + link("http://evil.net/")),
+        (14, None, link("http://evil.net/")),
+    ]
+    got = {k: r["verdict"] for k, r in judged(spark, rows).items()}
+    assert [k for k, v in sorted(got.items()) if v == "block"] == [1, 2, 3, 4, 5, 6, 8, 9, 11, 12, 13]
+
+
 def test_known_links_against_union_find(spark):
     import random
 
