@@ -7,8 +7,10 @@ Relations between sets do the work that pairs would:
   linked to the pivot is linked to each other by way of it, and no pair inside such a component is
   looked at again; for others of the same pivot the known overlaps bound theirs from both sides.
 * index level: the index holds each set's prefix in one global order (frequent shingles last), with
-  positions; lists whose sets are all in one component are skipped whole, and pairs are skipped by
-  size, by position and by parity bitmaps, before any set is fetched.
+  positions. A list is kept in blocks of one set size, each sorted by position, so that of a block a set reads
+  only the run of positions that can still give the overlap it needs, and skips the rest. Lists, and blocks, whose
+  sets are all in the set's own component are skipped whole. What is read is held against the known overlaps
+  and the parity bitmaps, before any set is fetched.
 
 Every remaining pair is verified on the whole sets, so components are exact.
 """
@@ -31,6 +33,8 @@ SKETCH_PART = 1 << 16
 BLOOM_BITS = 1 << 26
 HASHES = 4
 LIST_BLOCK = 8192
+#: Pairs a task looks at together.
+PAIRS_AT_ONCE = 1 << 20
 GROUP = 2048
 POSTINGS_A_TASK = 1_500_000
 NO_ID = -(2**63)
@@ -258,67 +262,97 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long, common long, linked boolean")
 
 
-def close_pairs(rows: list[np.ndarray], bitmaps: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs within the lists (tok equal, neighbours) that may be similar: (a, b, sure).
-    rows: tok, sid, pos, comp, n, pivot, ov, pn; sorted by tok, then n."""
-    tok, sid, pos, comp, n, pivot, ov, pn = rows
+def runs_in_reach(tok: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int, comp: np.ndarray | None = None):
+    """(i, lo, hi), block by block: set i may be similar to those in [lo, hi) and to no other set behind it in the
+    block. Sorted by tok, n, pos; a block is a run of equal tok and n. At two sets' first common shingle all that
+    stands before it in either is not in the other, which bounds the positions from above."""
     size = len(tok)
-    begin = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
-    last = np.repeat(np.r_[begin[1:], size], np.diff(np.r_[begin, size]))
+    if not size:
+        return
+    first = np.flatnonzero(np.r_[True, (tok[1:] != tok[:-1]) | (n[1:] != n[:-1])])
+    block = np.repeat(np.arange(len(first)), np.diff(np.r_[first, size]))
+    one = None if comp is None else np.where(np.minimum.reduceat(comp, first) == np.maximum.reduceat(comp, first), comp[first], -1)
+    width = np.int64(pos.max()) + 2
+    place = block * width + pos
     live = np.arange(size)
-    got: list[tuple[np.ndarray, np.ndarray]] = []
-    lag = 1
+    ahead = 0
     while True:
-        live = live[live + lag < last[live]]
+        live = live[block[live] + ahead < len(first)]
+        b = block[live] + ahead
+        at = first[b]
+        near = (tok[at] == tok[live]) & (percent * n[at] <= 100 * n[live])
+        live, b, at = live[near], b[near], at[near]  # sizes ascend: later blocks are too large as well
         if not len(live):
-            break
-        i, j = live, live + lag
-        near = percent * n[j] <= 100 * n[i]
-        live = live[near]  # sizes ascend: later ones are too large as well
-        i, j = i[near], j[near]
+            return
+        need = -(-percent * (n[live] + n[at]) // (100 + percent))
+        last = np.minimum(n[live] + n[at] - 2 * need - pos[live], n[at] - need)
+        lo = at if ahead else live + 1
+        hi = np.searchsorted(place, b * width + np.clip(last, -1, width - 2), "right")
+        some = (hi > lo) & (n[live] - pos[live] >= need)
+        if one is not None:
+            some &= one[b] != comp[live]
+        yield live[some], lo[some], hi[some]
+        ahead += 1
+
+
+def pair_runs(runs):
+    """(i, j) of the runs, PAIRS_AT_ONCE or one set's own at a time."""
+    for i, lo, hi in runs:
+        count = hi - lo
+        total = np.cumsum(count)
+        at = 0
+        while at < len(i):
+            before = total[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(total, before + PAIRS_AT_ONCE, "right")))
+            c = count[at:end]
+            skip = np.cumsum(c) - c
+            yield np.repeat(i[at:end], c), np.arange(c.sum()) + np.repeat(lo[at:end] - skip, c)
+            at = end
+
+
+def close_pairs(rows: list[np.ndarray], bitmaps: list[bytes], percent: int):
+    """Pairs within the lists (tok equal, neighbours) that may be similar: (a, b, sure), some at a time.
+    rows: tok, sid, pos, comp, n, pivot, ov, pn; sorted by tok, n, pos."""
+    tok, sid, pos, comp, n, pivot, ov, pn = rows
+    got: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def done():
+        i, j = (np.concatenate(x) for x in zip(*got))
+        a, b = np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
+        order = np.lexsort((b, a))
+        once = order[np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]]
+        i, j, a, b = i[once], j[once], a[once], b[once]
+        need = -(-percent * (n[i] + n[j]) // (100 + percent))
+        keep = bitmap_distance(i, j, bitmaps) <= n[i] + n[j] - 2 * need
+        sure = (pivot[i] == pivot[j]) & (ov[i] >= 0) & (ov[j] >= 0) & (ov[i] + ov[j] - pn[i] >= need)
+        return a[keep], b[keep], sure[keep]
+
+    for i, j in pair_runs(runs_in_reach(tok, n, pos, percent, comp)):
         need = -(-percent * (n[i] + n[j]) // (100 + percent))
-        # at their first common shingle, all that stands before it in either set is not in the other
-        fit = (comp[i] != comp[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
-        fit &= pos[i] + pos[j] <= n[i] + n[j] - 2 * need
+        # what the overlaps with one pivot leave open
         same = (pivot[i] == pivot[j]) & (ov[i] >= 0) & (ov[j] >= 0)
         most = np.minimum(ov[i], ov[j]) + np.minimum(n[i] - ov[i], n[j] - ov[j])
-        fit &= ~same | (most >= need)
+        fit = (comp[i] != comp[j]) & (~same | (most >= need))
         if fit.any():
             got.append((i[fit], j[fit]))
-        lag += 1
-    if not got:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
-    i, j = (np.concatenate(x) for x in zip(*got))
-    a, b = np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
-    _, once = np.unique(np.stack([a, b]), axis=1, return_index=True)
-    i, j, a, b = i[once], j[once], a[once], b[once]
-    need = -(-percent * (n[i] + n[j]) // (100 + percent))
-    differ = bitmap_distance(i, j, bitmaps)
-    keep = differ <= n[i] + n[j] - 2 * need
-    same = (pivot[i] == pivot[j]) & (ov[i] >= 0) & (ov[j] >= 0)
-    sure = same & (ov[i] + ov[j] - pn[i] >= need)
-    return a[keep], b[keep], sure[keep]
+            held += len(got[-1][0])
+        if held > PAIRS_AT_ONCE:
+            yield done()
+            got, held = [], 0
+    if got:
+        yield done()
 
 
 def partnered(tok: np.ndarray, pos: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
-    """Which postings have another one in their list that sizes and positions allow; sorted by tok, then n."""
+    """Which postings have another one in their list that sizes and positions allow; sorted by tok, n, pos."""
     size = len(tok)
-    begin = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
-    last = np.repeat(np.r_[begin[1:], size], np.diff(np.r_[begin, size]))
     keep = np.zeros(size, bool)
-    live = np.arange(size)
-    lag = 1
-    while True:
-        live = live[live + lag < last[live]]
-        live = live[percent * n[live + lag] <= 100 * n[live]]
-        if not len(live):
-            return keep
-        i, j = live, live + lag
-        need = -(-percent * (n[i] + n[j]) // (100 + percent))
-        fit = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & (pos[i] + pos[j] <= n[i] + n[j] - 2 * need)
-        keep[i[fit]] = True
-        keep[j[fit]] = True
-        lag += 1
+    edges = np.zeros(size + 1, np.int64)
+    for i, lo, hi in runs_in_reach(tok, n, pos, percent):
+        keep[i] = True
+        edges += np.bincount(lo, minlength=size + 1) - np.bincount(hi, minlength=size + 1)
+    return keep | (np.cumsum(edges[:size]) > 0)
 
 
 def bitmap_distance(i: np.ndarray, j: np.ndarray, bitmaps: list[bytes]) -> np.ndarray:
@@ -339,16 +373,22 @@ def bitmap_distance(i: np.ndarray, j: np.ndarray, bitmaps: list[bytes]) -> np.nd
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_members for every row of docs.
+    """doc_id, n_shingles, component_id, n_members, text_key, component_text for every row of docs.
 
     Two texts link when 100 * |A and B| >= percent * |A or B|, A and B their sets of distinct `width`-word shingles
     of ASCII-lower-cased words (fewer words: the whole sequence is the one shingle). component_id is
     the smallest doc_id that links reach. A null, empty or wordless text has no shingles and its own
     doc_id as component. Null ids are never a component's name unless it has no other. Repeated
-    rows get a row each. Other columns are ignored. Shingles are compared by 64-bit hashes.
+    rows get a row each. Other columns are ignored. Shingles are compared by 64-bit hashes. Ids are numbers: they are
+    cast to long, so a text that is none counts as null.
+
+    text_key (xxhash64 of the text, null as empty) tells apart rows that share an id; component_text, null without
+    shingles, is that of the component's first row by id and text_key, which so tells apart components that share
+    a smallest id.
     """
     spark = docs.sparkSession
-    slim_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    slim_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"))
 
     def describe(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -369,24 +409,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 sketch += np.bincount((np.concatenate(fresh) & U(len(sketch) - 1)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([0] * len(rows), pa.int32()), batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                 pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary())],
-                ["part", "doc_id", "sid", "n", "low", "blob"],
+                 pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary()), batch.column("text_key")],
+                ["part", "doc_id", "sid", "n", "low", "blob", "text_key"],
             )
         if seen:
             parts = np.minimum(sketch, 65535).astype(np.uint16).reshape(-1, SKETCH_PART)
             k = len(parts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(1, k + 1), pa.int32()), pa.nulls(k, pa.int64()), pa.array([0] * k, pa.int64()), pa.array([0] * k, pa.int64()),
-                 pa.nulls(k, pa.list_(pa.int64())), pa.array([p.tobytes() for p in parts], pa.binary())],
-                ["part", "doc_id", "sid", "n", "low", "blob"],
+                 pa.nulls(k, pa.list_(pa.int64())), pa.array([p.tobytes() for p in parts], pa.binary()), pa.nulls(k, pa.int64())],
+                ["part", "doc_id", "sid", "n", "low", "blob", "text_key"],
             )
 
-    first = written(slim_in.mapInArrow(describe, "part int, doc_id long, sid long, n long, low array<long>, blob binary"), "sets1")
-    slim = written(first.where("part = 0").select("doc_id", "sid", "n"), "slim")
+    first = written(slim_in.mapInArrow(describe, "part int, doc_id long, sid long, n long, low array<long>, blob binary, text_key long"), "sets1")
+    slim = written(first.where("part = 0").select("doc_id", "sid", "n", "text_key"), "slim")
     # The sketch has a fixed size (2^SKETCH_BITS counters), whatever the input.
     counts = summed(first.where("part > 0").select("part", "blob"), np.uint16)
     if not counts:
-        return slim.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_members"))
+        return slim.select(
+            "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_members"),
+            "text_key", F.lit(None).cast("long").alias("component_text"),
+        )
     level = order_levels(np.concatenate([counts[p] for p in sorted(counts)]).astype(np.float64))
     level_b = spark.sparkContext.broadcast(level)
 
@@ -394,7 +437,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         first.where("part = 0 and n > 0")
         .groupBy("sid")
         .agg(
-            F.min("doc_id").alias("least"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least"),
             F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("key"),
             F.max("n").alias("n"),
             F.count("*").alias("copies"),
@@ -523,7 +566,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             rec, tok = rec[order], tok[order]
             new = np.r_[True, (tok[1:] != tok[:-1]) | (rec["sid"][1:] != rec["sid"][:-1])]
             rec, tok = rec[new], tok[new]
-            order = np.lexsort((rec["n"], tok))
+            order = np.lexsort((rec["pos"], rec["n"], tok))
             rec, tok = rec[order], tok[order]
             yield from out(rec[partnered(tok, rec["pos"].astype(np.int64), rec["n"].astype(np.int64), percent)])
 
@@ -578,7 +621,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.xxhash64("tok", "cell").alias("tok"), "sid", "pos", "comp", "n", F.coalesce("pivot", "sid").alias("pivot"),
         F.coalesce("ov", F.lit(-1)).alias("ov"), F.coalesce("pn", "n").alias("pn"), "bitmap",
     )
-    placed = placed.repartition(tasks, "tok").sortWithinPartitions("tok", "n", "sid")
+    placed = placed.repartition(tasks, "tok").sortWithinPartitions("tok", "n", "pos", "sid")
     fields = ["tok", "sid", "pos", "comp", "n", "pivot", "ov", "pn"]
 
     def candidates(batches):
@@ -586,10 +629,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         maps: list[bytes] = []
 
         def flush(rows, bitmaps):
-            a, b, sure = close_pairs(rows, bitmaps, percent)
-            for s in range(0, len(a), 1 << 18):
-                e = s + (1 << 18)
-                yield pa.RecordBatch.from_arrays([pa.array(a[s:e]), pa.array(b[s:e]), pa.array(sure[s:e])], ["a", "b", "sure"])
+            for a, b, sure in close_pairs(rows, bitmaps, percent):
+                for s in range(0, len(a), 1 << 18):
+                    e = s + (1 << 18)
+                    yield pa.RecordBatch.from_arrays([pa.array(a[s:e]), pa.array(b[s:e]), pa.array(sure[s:e])], ["a", "b", "sure"])
 
         for batch in batches:
             new = [batch.column(c).to_numpy() for c in fields]
@@ -615,15 +658,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         classes.join(whole.select(F.col("node").alias("sid"), "component"), "sid", "left")
         .select("sid", "least", "copies", F.coalesce("component", "sid").alias("component"))
     )
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("copies").alias("n_members"))
-    by_sid = written(named.join(names, "component").select("sid", "component_id", "n_members"), "named")
-    return slim.join(by_sid.select(F.col("sid").alias("s"), "component_id", "n_members"), (F.col("sid") == F.col("s")) & (F.col("n") > 0), "left").select(
+    names = named.groupBy("component").agg(F.min("least").alias("first"), F.sum("copies").alias("n_members"))
+    by_sid = named.join(names, "component").select(F.col("sid").alias("s"), F.col("first.doc_id").alias("component_id"), F.col("first.text_key").alias("component_text"), "n_members")
+    by_sid = written(by_sid, "named")
+    return slim.join(by_sid, (F.col("sid") == F.col("s")) & (F.col("n") > 0), "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("n_members", F.lit(1)).alias("n_members"),
+        "text_key",
+        "component_text",
     )
 
 
 def op3_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    """doc_id, n_shingles, component_id, n_members of every document: four words a shingle, similarity 0.85."""
+    out = jaccard_components(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id", "n_members")

@@ -55,6 +55,47 @@ def test_families_around_the_threshold(spark, monkeypatch):
     assert found(j.jaccard_components(frame(spark, rows))) == plain(rows, 4, 85)
 
 
+@pytest.mark.parametrize("at_once", [1 << 20, 50])
+def test_block_skips_lose_no_pair(monkeypatch, at_once):
+    """Against a look at every pair of every list."""
+    monkeypatch.setattr(j, "PAIRS_AT_ONCE", at_once)
+    rng = np.random.default_rng(9)
+    m, percent = 700, 85
+    tok, n = rng.integers(0, 12, m), rng.integers(3, 40, m)
+    pos, comp, pivot = rng.integers(0, 6, m) % n, rng.integers(0, 40, m), rng.integers(0, 5, m)
+    ov = np.where(rng.random(m) < 0.6, (n * rng.random(m)).astype(np.int64), -1)
+    pn = 20 + pivot
+    order = np.lexsort((pos, n, tok))
+    tok, n, pos, comp, pivot, ov, pn = (x[order] for x in (tok, n, pos, comp, pivot, ov, pn))
+    sid = rng.permutation(m)
+    maps = [j.parity_bitmap(np.zeros(0, np.uint64))] * m  # no bits, no distance
+    got = {(a, b): s for x in j.close_pairs([tok, sid, pos, comp, n, pivot, ov, pn], maps, percent) for a, b, s in zip(*x)}
+    want, reached = {}, np.zeros(m, bool)
+    for x in range(m):
+        for y in range(x + 1, m):
+            need = -(-percent * (n[x] + n[y]) // (100 + percent))
+            if tok[x] != tok[y] or percent * max(n[x], n[y]) > 100 * min(n[x], n[y]) or min(n[x] - pos[x], n[y] - pos[y]) < need or pos[x] + pos[y] > n[x] + n[y] - 2 * need:
+                continue
+            reached[[x, y]] = True
+            known = pivot[x] == pivot[y] and ov[x] >= 0 and ov[y] >= 0
+            if comp[x] != comp[y] and not (known and min(ov[x], ov[y]) + min(n[x] - ov[x], n[y] - ov[y]) < need):
+                want[min(sid[x], sid[y]), max(sid[x], sid[y])] = bool(known and ov[x] + ov[y] - pn[x] >= need)
+    assert got == want and len(want) > 100
+    assert (j.partnered(tok, pos, n, percent) == reached).all()
+
+
+def test_repeated_ids_are_told_apart(spark):
+    """Two rows of one id, with texts of two components that both have it as their smallest."""
+    a, b = prose(random.Random(1), 40, 900), prose(random.Random(2), 40, 900)
+    rows = [(5, a, "en", "s"), (5, b, "en", "s"), (6, a, "en", "s"), (7, b, "en", "s"), (8, "", "en", "s"), (None, a, "en", "s")]
+    got = j.jaccard_components(frame(spark, rows)).collect()
+    assert {r["component_id"] for r in got if r["n_shingles"]} == {5}
+    groups = {}
+    for r in got:
+        groups.setdefault(r["component_text"], []).append((str(r["doc_id"]), r["text_key"]))
+    assert sorted(len(v) for v in groups.values()) == [1, 2, 3] and len(groups[None]) == 1
+
+
 def test_nothing_to_link(spark):
     df = frame(spark, corpus())
     assert j.jaccard_components(df.where("false")).count() == 0
