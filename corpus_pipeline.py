@@ -13,7 +13,7 @@ from strataprobe.llm.common import table, written
 from strataprobe.llm.decontaminate import contamination
 from strataprobe.llm.jaccard import jaccard_components
 from strataprobe.llm.mixing import mix
-from strataprobe.llm.quality import fit_quality, score_udf, training_labels
+from strataprobe.llm.quality import QualityModel, fit_quality, score_udf, training_labels
 from strataprobe.llm.shards import shard
 
 QUALITY_THRESHOLD = 0.3
@@ -28,23 +28,31 @@ def _text_key(name: str = "d.text"):
     return F.xxhash64(F.coalesce(F.col(name), F.lit("")))
 
 
+def _model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> QualityModel:
+    return fit_quality(docs, training_labels(table(spark, sf_dir, "labels")).select("doc_id", "quality"))
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the quality classifier scores 0.3 or more."""
-    labels = training_labels(table(spark, sf_dir, "labels")).select("doc_id", "quality")
-    model = fit_quality(docs, labels)
-    return docs.where(score_udf(model)(F.col("text")) >= QUALITY_THRESHOLD)
+    return docs.where(score_udf(_model(spark, docs, sf_dir))(F.col("text")) >= QUALITY_THRESHOLD)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each group linked at a Jaccard similarity of 0.8 over
-    five-word shingles. Of rows that repeat an id one stays; rows without an id can't be told apart
-    and stay."""
-    found = written(jaccard_components(docs, width=WIDTH, percent=PERCENT).select("doc_id", "component_id"), "dups")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g.gone_id"), "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
-        named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-        kept = named.unionByName(kept.where("doc_id is null"))
+    """Keeps one document, the first by id and text (null ids last), of each group linked at a Jaccard similarity of
+    0.8 over five-word shingles. Rows that share an id but no group each stand for themselves; of
+    rows equal in id and text one stays. Documents without words are linked with nothing and stay, all of them."""
+    found = jaccard_components(docs, width=WIDTH, percent=PERCENT).where("n_shingles > 0")
+    found = written(found.select("doc_id", "text_key", "component_id", "component_text"), "dups")
+    rows = found.groupBy("doc_id", "text_key").agg(
+        F.min(~(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("component_text")))).alias("gone"), F.count("*").alias("times")
+    )
+    rows = written(rows.where("gone or times > 1").select(F.col("doc_id").alias("known_id"), "text_key", "gone"), "gone")
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.known_id")) & (_text_key() == F.col("g.text_key"))
+    kept = docs.alias("d").join(rows.alias("g"), same, "left_anti")
+    repeated = rows.where("not gone")
+    if repeated.take(1):
+        once = docs.alias("d").join(repeated.alias("g"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.unionByName(once)
     return kept
 
 
@@ -56,11 +64,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out whole documents, so that sources meet their word targets. Documents without
-    words add none and go. Rows that repeat id and text share the copies of the best placed of them."""
-    taken = mix(docs, whole=True).where("taken > 0")
+    """Repeats or leaves out whole documents, so that sources meet their word targets; the classifier's score is their
+    weight. Documents without words add none and go. Rows of one id, source and size share the copies of the
+    best placed of them."""
+    score = score_udf(_model(spark, docs, sf_dir))(F.col("text"))
+    taken = mix(docs, whole=True, quality=F.lit(0.1) + F.lit(0.9) * score).where("taken > 0")
     copies = F.max((F.col("taken") / F.col("size")).cast("int")).alias("copies")
-    # rows of one id differ in size if their texts do, so that id and size lead back to the row
     plan = taken.groupBy("doc_id", "source", "size").agg(copies)
     size = F.regexp_count(F.coalesce(F.col("d.text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     on = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.source")) & (size == F.col("p.size"))
@@ -72,9 +81,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
-def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the documents as shards and returns them as the committed manifest has them."""
-    return shard(docs)
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str, output: str | None = None) -> DataFrame:
+    """Writes the documents as shards below output, by default a new place in the shared folder that outlives the
+    session, and returns them as the committed manifest has them."""
+    return shard(docs, output)
 
 
 STAGES = [
@@ -89,8 +99,9 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, output: str | None = None) -> DataFrame:
+    """All stages over the documents; output: the root of the shard store."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), "stage")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return shards(spark, docs, sf_dir, output)
