@@ -167,13 +167,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(max_rounds):
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        degrees = both.groupBy("u").agg(F.count("*").alias("degree"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("mark"))
-        *now, hubs = degrees.agg(F.sum("degree"), F.sum("mark"), F.count_if(F.col("degree") > HUB_EDGES)).first()
+        now, salts = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first(), None
         if now == seen:
             break
         seen = now
-        # a node's edges in either star are no more than it has now
-        salts = degrees.where(F.col("degree") > HUB_EDGES).select("u", (F.col("degree") / HUB_EDGES).cast("int").alias("last")) if hubs else None
+        if cur.rows > HUB_EDGES:  # a node's edges in either star are no more than it has now
+            degrees = both.groupBy("u").agg(F.count("*").alias("degree")).where(F.col("degree") > HUB_EDGES)
+            salts = degrees.select("u", (F.col("degree") / HUB_EDGES).cast("int").alias("last"))
+            salts = salts if salts.take(1) else None
         large = _star(both, F.col("v") > F.col("u"), salts, keep_self=False)
         small = _star(large, F.lit(True), salts, keep_self=True)
         before, cur = cur, written(small, "edges")
