@@ -380,15 +380,23 @@ def graph_within(spark, sf_dir):
     return graphs.within(turn_edges(spark, sf_dir), n)
 
 
-@query("graph_paths", f"SELECT string_agg(node, '>' ORDER BY turn) AS path FROM ({TURNS}) WHERE conv_id IN (5, 6) GROUP BY conv_id")
+CHAINS = f"SELECT *, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS chain FROM ({TURNS})"
+
+
+@query("graph_paths", f"SELECT string_agg(node, '>' ORDER BY turn) AS path FROM ({CHAINS}) GROUP BY conv_id, chain")
 def graph_paths(spark, sf_dir):
-    """Every chain of turns of every conversation. The SQL holds conversations 5 and 6 alone."""
+    """Every chain of turns of every conversation."""
     node = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("node")
     paths = graphs.all_root_paths(turn_edges(spark, sf_dir), table(spark, sf_dir, "conversations").select(node))
     return paths.select(F.array_join("nodes", ">").alias("path"))
 
 
-@query("graph_cycles")
+@query(
+    "graph_cycles",
+    f"""WITH g AS (SELECT conv_id, list(node ORDER BY turn) AS l, min(node) AS least, min(turn) AS a, max(turn) AS z FROM ({CHAINS}) GROUP BY conv_id, chain HAVING count(*) > 1),
+c AS (SELECT *, list_position(l, least) AS p FROM g WHERE conv_id IN (SELECT conv_id FROM g GROUP BY conv_id HAVING count(*) = 1))
+SELECT array_to_string(l[p:] || l[:p - 1] || [least], '>') AS path FROM c""",
+)
 def graph_cycles(spark, sf_dir):
     """The turns of every conversation, its last linked turn closed to its first: one cycle a conversation, unless turns
     are missing in between."""
