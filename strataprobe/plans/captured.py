@@ -48,7 +48,7 @@ EVENT = _json(
     Topic="'Allocation'", Type="event_type", Key=_id(8, "user_id"), Index="=cast(event_id as string)",
     Payload="=" + "'{\"Allocation\":' || " + _json(ID=_id(8, "user_id"), ClientStatus="event_type", ModifyTime="=cast(sec as string) || '000000000'") + " || '}'",
 )
-LOG = f"iso || ' [INFO] ' || event_type || ' alloc=' || {_id(8, 'user_id')} || ' n=' || cast(event_id as string)"
+LOG = f"iso || ' [INFO] ' || event_type || ' alloc=' || {_id(8, 'user_id')} || CASE event_id % 4 WHEN 1 THEN ': task restarting' WHEN 2 THEN ': reschedule' ELSE '' END || ' n=' || cast(event_id as string)"
 STATUS = "CASE WHEN (c_custkey + {0}) % 3 = 0 THEN 'complete' ELSE 'running' END"
 ALLOC = _json(
     ID=_id(8, "c_custkey"), JobID="'job-' || lower(c_mktsegment)", Namespace="'default'", NodeID="'node-' || cast(c_nationkey as string)", EvalID=_id(9, "cast(floor(c_custkey / 10) as bigint)"),
@@ -170,7 +170,7 @@ d AS (SELECT *, lag(st) OVER (ORDER BY i) AS before FROM s)
 SELECT printf('2024-01-10T%02d:00:00Z', i) AS timestamp_utc, 'allocation_snapshot' AS source_type, printf('interval/%04d/allocations.json', i) AS source_file, '' AS source_line, CASE WHEN before IS NULL THEN 'allocation observed in interval snapshot' ELSE printf('snapshot change at interval %04d', i) END AS event
   FROM d WHERE st IS DISTINCT FROM before
 UNION ALL SELECT iso, 'event_stream', 'cluster/eventstream.json', n::VARCHAR, 'Allocation / ' || event_type FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS n FROM ev) WHERE user_id = 2
-UNION ALL (SELECT line[:20], 'monitor_log', path, line_no::VARCHAR, 'allocation log record' FROM l WHERE path LIKE '%.log' AND contains(line, '{alloc_id(2)}') ORDER BY path, line_no LIMIT 100)""",
+UNION ALL (SELECT line[:20], 'monitor_log', path, line_no::VARCHAR, CASE WHEN contains(line, 'restarting') THEN 'task restarting' WHEN contains(line, 'reschedule') THEN 'allocation reschedule' ELSE 'allocation log record' END FROM l WHERE path LIKE '%.log' AND contains(line, '{alloc_id(2)}') ORDER BY path, line_no LIMIT 100)""",
 )
 def tool_history(spark, sf_dir):
     """One allocation's history."""
@@ -183,7 +183,7 @@ def tool_history(spark, sf_dir):
     f"""{WITH_LINES}, n AS (SELECT *, row_number() OVER (ORDER BY event_id) AS no FROM ev)
 SELECT iso AS timestamp_utc, 'event_stream' AS source_type, 'cluster/eventstream.json' AS source_file, no::VARCHAR AS source_line, 'allocation' AS object_type, '{alloc_id(2)}' AS object_id, 'Allocation / ' || event_type AS event FROM n WHERE user_id = 2
 UNION ALL SELECT printf('2024-01-10T%02d:00:00Z', i), 'interval_snapshot', printf('interval/%04d/allocations.json', i), '', 'allocation', printf('00000000-0000-4000-8000-%012d', c), printf('allocation observed in interval %04d', i) FROM (SELECT unnest({INTERVALS}) AS i), (SELECT unnest([2, 3]) AS c)
-UNION ALL (SELECT line[:20] AS t, 'server_monitor_log', path, line_no::VARCHAR, 'log', '', 'allocation log record' FROM l WHERE path LIKE 'server/%.log' AND contains(line, '{alloc_id(2)}') ORDER BY t, path LIMIT 500)""",
+UNION ALL (SELECT line[:20] AS t, 'server_monitor_log', path, line_no::VARCHAR, 'log', '', CASE WHEN contains(line, 'restarting') THEN 'task restarting' WHEN contains(line, 'reschedule') THEN 'reschedule' ELSE 'matching log record' END FROM l WHERE path LIKE 'server/%.log' AND contains(line, '{alloc_id(2)}') ORDER BY t, path LIMIT 500)""",
 )
 def tool_correlate(spark, sf_dir):
     """One timeline of all sources; the next allocation names this one."""
