@@ -9,12 +9,15 @@ EDGE_COLUMNS = ["src", "dst", "relation", "source_type", "source_file", "detail"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage with a checkpoint in the shared folder (spark.checkpoint.dir); where none is set, as in
-    tests on one machine, in a folder made for it."""
+    """Ends the lineage with a checkpoint in the shared folder (spark.checkpoint.dir); where none is set and all runs
+    in this one process, in a folder made for it. On a cluster it must be set."""
     sc = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
         import tempfile
 
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="strataprobe-"))
     return df.checkpoint()
 

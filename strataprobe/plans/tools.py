@@ -196,15 +196,21 @@ def extract_window(spark: SparkSession, root: str, output: str, start: datetime,
 
 
 # shared pieces of the object tools ---------------------------------------------------------------
+PROBE = 65_536  # characters at the head of a snapshot that may tell its time
+
+
 def capture_times(files: DataFrame, strict: bool) -> DataFrame:
     """interval_id, capture_ts. strict: the metrics' own time only; else, failing that, the least time at the
     head of allocations, evaluations or nodes, the first of these that has one."""
-    head = ingest.whole_texts(files.where(F.regexp_extract("rel", ingest.SNAPSHOT, 2).isin("metrics.json", "allocations.json", "evaluations.json", "nodes.json")), None if strict else None)
+    name = F.regexp_extract("rel", ingest.SNAPSHOT, 2)
+    head = ingest.whole_texts(files.where(name == "metrics.json"))
+    if not strict:
+        head = head.unionByName(ingest.whole_texts(files.where(name.isin("allocations.json", "evaluations.json", "nodes.json")), PROBE))
     head = head.select(F.regexp_extract("rel", ingest.SNAPSHOT, 1).alias("interval_id"), F.regexp_extract("rel", ingest.SNAPSHOT, 2).alias("name"), "text")
     order = F.array_position(F.array(*[F.lit(n) for n in ("metrics.json", "allocations.json", "evaluations.json", "nodes.json")]), F.col("name"))
     own = timestamps.parse_timestamp(F.get_json_object("text", "$.Timestamp"))
-    probe = F.array_min(timestamps.timestamps_in(F.substring("text", 1, 65536)))
-    ts = F.when(F.col("name") == "metrics.json", own) if strict else F.when(F.col("name") == "metrics.json", own).otherwise(probe)
+    probe = F.array_min(timestamps.timestamps_in(F.col("text")))
+    ts = F.when(F.col("name") == "metrics.json", own).otherwise(probe)
     seen = head.select("interval_id", order.alias("o"), ts.alias("ts")).where("ts is not null")
     return seen.groupBy("interval_id").agg(F.min_by("ts", "o").alias("capture_ts"))
 
