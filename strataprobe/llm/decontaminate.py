@@ -4,7 +4,7 @@ An item's windows are runs of `window` words; a window's tokens are its word shi
 holds a window exactly if it holds all its shingles at consecutive positions, so any one of them is
 a necessary prefix: the rarest over the corpus is taken. Its postings give candidate starts; length
 and positional bounds drop those that do not fit the document; the neighbours of the posting verify
-the rest, word for word.
+the rest, shingle by shingle. Words and shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -133,6 +133,7 @@ def contamination(
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document against all benchmark items."""
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 

@@ -141,6 +141,7 @@ def _families(varied: DataFrame, gone: DataFrame, slim: DataFrame, min_docs: int
 
 
 def op6_line_templates(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256 of every document; a template recurs from 5 documents on."""
     out = drop_recurring_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 

@@ -228,6 +228,7 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def op9_quality(spark, sf_dir: str, threshold: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, training_labels(table(spark, sf_dir, "labels")).select("doc_id", "quality"))
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
