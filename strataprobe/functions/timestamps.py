@@ -38,21 +38,25 @@ def timestamps_in(text: Column) -> Column:
     """Distinct timestamps of a text, those of more specific forms first, then by position. A form that
     doesn't parse is read again without its offset."""
     found = F.regexp_extract_all(text, F.lit(ANY_STAMP), 0)
-    kind = (
-        lambda r: F.when(r.endswith("Z"), 0)
-        .when(F.regexp_like(r, F.lit(r"[+-]\d{2}:\d{2}$")), 1)
-        .when(F.regexp_like(r, F.lit(r"T.*[+-]\d{4}$")), 2)
-        .when(r.endswith(" UTC"), 3)
-        .otherwise(4)
-    )
-
-    def read(r, i):
-        at = parse_timestamp(r)
-        bare = parse_timestamp(F.regexp_extract(r, r"^\S+?[ T]\d{2}:\d{2}:\d{2}(?:\.\d+)?", 0))
-        again = at.isNull() & ~r.endswith("Z")
-        return F.struct(F.when(again, 4).otherwise(kind(r)).alias("kind"), i.alias("at"), F.when(again, bare).otherwise(at).alias("ts"))
-
-    rows = F.array_sort(F.filter(F.transform(found, read), lambda x: x["ts"].isNotNull()))
+
+    def parts(r):
+        rest = F.substr(r, F.lit(20))  # what follows the seconds
+        fraction = F.when(rest.startswith("."), F.regexp_extract(rest, r"^\.\d{1,6}", 0)).otherwise("")
+        base = F.concat(F.substring(r, 1, 10), F.lit("T"), F.substring(r, 12, 8), fraction, F.lit("Z")).try_cast("timestamp")
+        zone = F.when(rest == "", "").otherwise(F.regexp_extract(rest, r"(Z|[+-]\d{2}:?\d{2})(?: UTC)?$", 1))
+        return F.struct(base.alias("base"), zone.alias("zone"), rest.endswith(" UTC").alias("named"))
+
+    def read(x, i):
+        zone = x["zone"]
+        plain = (zone == "") | (zone == "Z")
+        minutes = F.substring(zone, 2, 2).cast("int") * 60 + F.right(zone, F.lit(2)).cast("int")
+        valid = (F.substring(zone, 2, 2) < "24") & (F.right(zone, F.lit(2)) < "60")
+        shift = F.when(plain | ~valid, F.lit(0)).otherwise(F.when(zone.startswith("-"), -minutes).otherwise(minutes)).cast("long")
+        kind = F.when(zone == "Z", 0).when(plain | ~valid, 4).when(zone.contains(":"), 1).when(x["named"], 3).otherwise(2)
+        return F.struct(kind.alias("kind"), i.alias("at"), F.timestamp_micros(F.unix_micros(x["base"]) - shift * F.lit(MINUTE)).alias("ts"))
+
+    real = F.filter(F.transform(found, parts), lambda x: x["base"].isNotNull())
+    rows = F.array_sort(F.transform(real, read))
     return F.array_distinct(F.transform(rows, lambda x: x["ts"]))
 
 
