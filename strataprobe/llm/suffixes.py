@@ -4,7 +4,8 @@ Content anchors (anchors.py) bring together the places where equal windows of `l
 Regions that are equal as a whole need no sorting. Where regions of one anchor differ, their strings
 to the right of the anchor, and to its left, are suffix-sorted deep-shallow: multikey quicksort to a
 shallow depth, then blind tries for the groups that still agree. Common prefixes of neighbours then
-tell which windows of a region also lie in another.
+tell which windows of a region also lie in another. An anchor with many regions is dealt by what stands on
+either side of it; where that still leaves many together, their windows are dealt one by one.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ WORD = 8
 ANCHORS_A_TASK = 1_000_000
 #: Differing regions of one anchor from which they are dealt again by their surroundings.
 HOT_REGIONS = 2000
+#: Regions of one such place from which their windows are told apart one by one: no task sorts more.
+HOT_PLACE = 2000
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -175,6 +178,19 @@ def merge_spans(th: np.ndarray, lo: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return th[first], lo[first], reach[last] - base[last]
 
 
+def _windows_met(regions: DataFrame, length: int) -> DataFrame:
+    """gram, region, a, z: the first and last window of a region (gram, region, at, first, last, body) that another region
+    of its anchor holds at the same place from it. All windows of a region hold its anchor, so that what they
+    cover is one stretch. Nothing meets but hashes: a window's holders are only counted, map side first."""
+    each = F.explode(F.sequence("first", "last")).alias("a")
+    windows = regions.select("gram", "region", "at", "body", each)
+    key = F.xxhash64("gram", F.col("at") - F.col("a"), F.substr("body", F.col("a") + 1, F.lit(length)))
+    windows = windows.select("gram", "region", "a", key.alias("window"))
+    shared = windows.groupBy("window").agg(F.min("region").alias("least"), F.max("region").alias("most")).where("least <> most").select("window")
+    met = windows.join(shared, "window")
+    return met.groupBy("gram", "region").agg(F.min("a").cast("long").alias("a"), F.max("a").cast("long").alias("z"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 200) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes; null if nothing was removed or all)
     for every row of docs.
@@ -279,23 +295,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         sent.add(key)
                         lo, at = int(f["lo"]), int(f["at"])
                         body = raw[lo : lo + int(f["span"]) + length].tobytes()
-                        for place in places(f["gram"], at, body):
-                            rows.append((place, *key, at, body))
+                        for place, first, last in places(f["gram"], at, body):
+                            rows.append((place, *key, at, first, last, body))
             if rows:
-                k, g, r, at, body = zip(*rows)
-                longs = [pa.array(np.array(x, U).view(np.int64)) for x in (k, g, r)]
-                yield pa.RecordBatch.from_arrays([*longs, pa.array(at, pa.int32()), pa.array(body, pa.binary())], ["place", "gram", "region", "at", "body"])
-
-    def places(g, at: int, body: bytes) -> list[int]:
-        """Where a region meets others: with its anchor, or with its anchor and either half."""
+                *longs, at, first, last, body = zip(*rows)
+                arrays = [pa.array(np.array(x, U).view(np.int64)) for x in longs] + [pa.array(x, pa.int32()) for x in (at, first, last)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(body, pa.binary())], ["place", "gram", "region", "at", "first", "last", "body"])
+
+    def places(g, at: int, body: bytes) -> list[tuple[int, int, int]]:
+        """Where a region meets others, with its anchor or with its anchor and either half, and the first and last
+        of its windows that can be met there."""
+        span = len(body) - length
         if not in_bloom(hot.value, [np.array([g], U)])[0]:
-            return [int(g)]
+            return [(int(g), 0, span)]
         out = []
         if at >= half:
-            out.append(b"L" + int(g).to_bytes(8, "little") + body[at - half : at])
-        if len(body) - at > length - half:
-            out.append(b"R" + int(g).to_bytes(8, "little") + body[at : at + length - half + 1])
-        return [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in out]
+            out.append((b"L" + int(g).to_bytes(8, "little") + body[at - half : at], 0, min(span, at - half)))
+        if span > at - half:
+            out.append((b"R" + int(g).to_bytes(8, "little") + body[at : at + length - half + 1], max(0, at - half + 1), span))
+        return [(int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little"), a, z) for x, a, z in out]
 
     def sort(batches):
         group: list[tuple[int, int, bytes, int]] = []
@@ -323,9 +341,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if out := flush():
             yield batch_of(out)
 
-    brought = read.select("th", "text").mapInArrow(bring, "place long, gram long, region long, at int, body binary")
-    brought = brought.repartition(tasks, "place").sortWithinPartitions("place", "gram", "region")
-    ranges = brought.mapInArrow(sort, "gram long, region long, a long, z long")
+    brought = read.select("th", "text").mapInArrow(bring, "place long, gram long, region long, at int, first int, last int, body binary")
+    brought = written(brought, "brought")
+    meetings = brought.select("place", "gram", "region").distinct().groupBy("place").count()
+    crowded = written(meetings.where(F.col("count") > HOT_PLACE).select("place"), "crowded")
+    apart = brought.join(crowded, "place", "left_anti") if crowded.rows else brought
+    apart = apart.select("place", "gram", "region", "at", "body").repartition(tasks, "place").sortWithinPartitions("place", "gram", "region")
+    ranges = apart.mapInArrow(sort, "gram long, region long, a long, z long")
+    if crowded.rows:
+        ranges = ranges.unionByName(_windows_met(brought.join(crowded, "place", "left_semi"), length))
     partial = ranges.join(edges.where("edge = 1"), ["gram", "region"]).select("th", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("z") + length).alias("end"))
     spans = met.where("edge = 0").select("th", "lo", "end").unionByName(partial)
     per_text = spans.groupBy("th").agg(F.array_sort(F.collect_list(F.struct("lo", "end"))).alias("spans"))

@@ -41,9 +41,11 @@ def test_against_every_window(spark, length, gram):
     check(spark, [r for r in corpus(6, 60) if len(r[1] or "") < 20_000], length, gram)
 
 
-@pytest.mark.parametrize("many", [2000, 1])
-def test_passages_with_edges_of_all_kinds(spark, monkeypatch, many):
+@pytest.mark.parametrize("many,crowd", [(2000, 2000), (1, 2000), (1, 6), (1, 1)])
+def test_passages_with_edges_of_all_kinds(spark, monkeypatch, many, crowd):
+    """Regions of an anchor sorted together, by halves, by halves or windows, by windows alone."""
     monkeypatch.setattr(sx, "HOT_REGIONS", many)
+    monkeypatch.setattr(sx, "HOT_PLACE", crowd)
     rng = random.Random(9)
     passage = prose(rng, 120, 9000)
     rows = []
@@ -53,6 +55,14 @@ def test_passages_with_edges_of_all_kinds(spark, monkeypatch, many):
     check(spark, rows, 50, 20)
 
 
+def test_a_crowd_around_one_long_passage(spark):
+    """Over 2,000 different regions of one anchor, most with the same 450 bytes, some with fewer than 400 of them."""
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(450))
+    texts = [f"{i:05d}" * 30 + passage[: 450 if i % 50 else 395] + f"{i * 7:06d}" * 30 for i in range(2300)]
+    check(spark, [(i, t, "en", "s") for i, t in enumerate(texts)], 400, 200)
+
+
 def test_empty(spark):
     assert sx.remove_repeats(frame(spark, corpus()).where("false")).count() == 0
 
