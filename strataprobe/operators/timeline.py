@@ -10,6 +10,8 @@ from ..functions.text import excerpt_first_of, without_leading_stamp
 from ..functions.timestamps import first_timestamp, in_window, iso_utc
 
 COLUMNS = ["ts", "source_type", "source_file", "source_line", "object_type", "object_id", "event", "details", "relevance", "source_group"]
+#: Events of which the collapsed view is made; the CSV file beside it has all.
+VIEW_EVENTS = 20_000
 
 
 def holds_any(text, needles: list[str]):
@@ -89,12 +91,12 @@ def collapsed(events: DataFrame, order: list, signature, keep=None, partition: l
     return out.withColumn("step", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("island", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("step", "sig")
 
 
-def collapsed_view(events: DataFrame) -> DataFrame:
-    """Consecutive unchanged snapshot rows as one row that names the span; other rows as they are. For the
-    human view of a bounded timeline."""
+def collapsed_view(events: DataFrame, most: int = VIEW_EVENTS) -> DataFrame:
+    """Consecutive unchanged snapshot rows as one row that names the span; other rows as they are. A view to
+    read: it is made of the first `most` events, so that no task has more to order."""
     sig = F.concat_ws("\u0001", "object_type", "object_id", F.regexp_replace("details", r"interval \d{4}", "interval NNNN"))
     order = [F.col("ts").asc_nulls_last(), "source_type", "source_file", F.coalesce("source_line", F.lit(-1))]
-    runs = collapsed(events, order, sig, keep=F.col("source_type") != "interval_snapshot")
+    runs = collapsed(events.orderBy(*order).limit(most), order, sig, keep=F.col("source_type") != "interval_snapshot")
     row = F.struct(F.coalesce(F.unix_micros("ts"), F.lit(2**62)).alias("o"), "source_type", "source_file", F.coalesce("source_line", F.lit(-1)).alias("l"), *[F.col(c).alias("v_" + c) for c in COLUMNS])
     g = runs.groupBy("island").agg(F.count("*").alias("n"), F.min(row).alias("a"), F.max(row).alias("z"))
     v = lambda c: F.col(f"a.v_{c}")

@@ -364,7 +364,8 @@ def correlate_timeline(
         "monitor_matches": kept.count(), "suppressed_debug_lines": 0 if include_debug_traffic else hits.where("noise").count(), **stats_of(snaps),
     }
     sinks.json_file(summary, run / "summary.json")
-    sinks.markdown_file(run / "timeline.md", "Correlated timeline", ("Summary", sinks.markdown_table(["what", "value"], summary.items())), ("Timeline, unchanged snapshots as one row", frame_text(show(timeline.collapsed_view(events)))))
+    head = "Timeline, unchanged snapshots as one row" + (f", of the first {timeline.VIEW_EVENTS} of {n} events" if n > timeline.VIEW_EVENTS else "")
+    sinks.markdown_file(run / "timeline.md", "Correlated timeline", ("Summary", sinks.markdown_table(["what", "value"], summary.items())), (head, frame_text(show(timeline.collapsed_view(events)))))
     for df in (files, snaps, hits, events):
         df.unpersist()
     return run

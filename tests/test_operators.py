@@ -73,6 +73,7 @@ def test_collapsed_view(spark):
     got = timeline.collapsed_view(df).collect()
     assert [r["source_file"] for r in got] == ["f1 … f2", "f3", "f4"]
     assert "unchanged across 2" in got[0]["details"]
+    assert [r["source_file"] for r in timeline.collapsed_view(df, most=3).collect()] == ["f1 … f2", "f3"]
 
 
 def edges(spark, pairs):
