@@ -49,11 +49,14 @@ def reply_paths(nodes: DataFrame, top: int | None = 1, max_rounds: int = 40) ->
     the `top` best root-to-leaf paths of each tree (all: None), nodes numbered from 0 at the root.
 
     A branch's score is the mean of its nodes' scores (null: 0); ties go to the smaller leaf. A parent
-    that is null or no node of the tree makes its child a root. Ids are unique in a tree. Nodes
+    that is null or no node of the tree makes its child a root. Rows that repeat an id in a tree count once, with the
+    least parent (null before others) and its least score; rows without a tree or an id are left out. Nodes
     on a cycle reach no root and are left out. Joins double the link length each round, so a chain
     of n turns takes log2(n) rounds.
     """
-    base = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    one = F.min(F.struct("parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))).alias("one")
+    base = nodes.where("tree is not null and node is not null").groupBy("tree", "node").agg(one)
+    base = base.select("tree", "node", "one.parent", "one.score")
     known = base.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     links = base.join(known, ["tree", "parent"], "left").select(
         "tree",
@@ -102,7 +105,8 @@ def reply_paths(nodes: DataFrame, top: int | None = 1, max_rounds: int = 40) ->
 def format_paths(paths: DataFrame, turns: DataFrame) -> DataFrame:
     """paths as from reply_paths, turns(tree, node, role, text) -> one row a path: tree, leaf,
     branch_rank, branch_score, formatted, loss_spans (0-based start and end, in code points, of the
-    escaped text of each assistant turn). A null role or text counts as empty."""
+    escaped text of each assistant turn). A null role or text counts as empty; of turns that repeat an id in a
+    tree the least by role and text is taken. An empty table gives no rows; other columns are ignored."""
     role = F.coalesce(F.col("role"), F.lit(""))
     head = F.concat(F.lit(HEAD), encode_role(role), F.lit(": "))
     body = escape_text(F.coalesce(F.col("text"), F.lit("")))
@@ -110,6 +114,8 @@ def format_paths(paths: DataFrame, turns: DataFrame) -> DataFrame:
         "tree", "leaf", "branch_rank", "branch_score", F.struct("step", head.alias("head"), body.alias("body"), (role == "assistant").alias("loss")).alias("t")
     )
     whole = rows.groupBy("tree", "leaf", "branch_rank", "branch_score").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    first = lambda t, i: (i == 0) | (t["step"] != F.get("ts", i - 1)["step"])
+    whole = whole.withColumn("ts", F.filter("ts", first))
     pieces = F.transform("ts", lambda t: F.concat(t["head"], t["body"], F.lit(TURN_END)))
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
 
@@ -159,6 +165,7 @@ FENCE_CASE = "\\### Assistant: </turn> ok"
 
 
 def op5_chat_format(spark, sf_dir: str) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of every conversation, read back from its format."""
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     fence = spark.createDataFrame([(-7, 0, "user", FENCE_CASE), (-7, 1, "assistant", FENCE_CASE)], conv.schema)
     nodes = written(turn_chain(conv.unionByName(fence)), "turns")

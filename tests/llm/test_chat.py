@@ -54,6 +54,16 @@ def test_branches_are_ranked_and_enumerated(spark):
     assert paths(chat.reply_paths(df, top=None)) == {("t", 1): [1, 2, 4], ("t", 2): [1, 3, 5], ("u", 1): [1], ("d", 1): [7]}
 
 
+def test_repeated_and_missing_ids(spark):
+    rows = [("t", 1, None, 0.0, "user", "q"), ("t", 1, None, 0.0, "user", "q"), ("t", 2, 9, 7.0, "user", "z"), ("t", 2, 1, 4.0, "assistant", "b"), ("t", 2, 1, 3.0, "assistant", "a"), ("t", None, 1, 9.0, "user", "x"), (None, 3, None, 1.0, "user", "y")]
+    df = spark.createDataFrame(rows, "tree string, node long, parent long, score double, role string, text string").withColumn("step", F.lit("clash"))
+    found = chat.reply_paths(df, top=None)
+    assert paths(found) == {("t", 1): [1, 2]} and found.count() == 2
+    assert {r["branch_score"] for r in found.collect()} == {1.5}
+    out = chat.format_paths(found, df).collect()
+    assert [r["formatted"] for r in out] == ["### user: q</turn>\n### assistant: a</turn>\n"]
+
+
 def test_long_chain_takes_few_rounds(spark):
     df = spark.range(300).selectExpr("'x' as tree", "id as node", "case when id > 0 then id - 1 end as parent", "0D as score")
     assert paths(chat.reply_paths(df)) == {("x", 1): list(range(300))}
