@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fingerprint, jaccard, lines, mixing, quality, shards, suffixes, urls
+from . import chat, decontaminate, fingerprint, jaccard, lines, mixing, quality, shards, suffixes, urls, whitening
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_quality": quality.op9_quality,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
+    "op11_whitening": whitening.op11_whitening,
 }
 #: Where SQL can't express a query, tests/llm holds it against brute force or held-out labels.
 SQL = {
