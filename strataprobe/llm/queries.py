@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fingerprint, jaccard, lines, mixing, quality, shards, suffixes, urls, whitening
+from . import chat, decontaminate, extraction, fingerprint, jaccard, lines, mixing, quality, runs, shards, suffixes, urls, whitening
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
     "op11_whitening": whitening.op11_whitening,
+    "op12_periodic_runs": runs.op12_periodic_runs,
+    "op13_html_extraction": extraction.op13_html_extraction,
 }
 #: Where SQL can't express a query, tests/llm holds it against brute force or held-out labels.
 SQL = {
