@@ -24,13 +24,20 @@ def file_rows(files: DataFrame) -> DataFrame:
 
 
 def bounded_lines(lines: DataFrame, max_bytes: int | None = None, max_lines: int | None = None) -> DataFrame:
-    """The lines of each file up to a number of bytes (the line that reaches it included) or lines."""
+    """The lines of each file up to a number of bytes (the line that reaches it included) or lines. Where lines name the
+    block they were read in, bytes are added up by block, so that no task orders more than one."""
     out = lines
     if max_lines is not None:
         out = out.where(F.col("line_no") <= max_lines)
     if max_bytes is not None:
-        before = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-        out = out.withColumn("before", F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0))).where(F.col("before") < max_bytes).drop("before")
+        size = F.octet_length("line") + 1
+        by = ["path", "block"] if "block" in lines.columns else ["path"]
+        before = F.sum(size).over(Window.partitionBy(*by).orderBy("line_no")) - size
+        if len(by) > 1:
+            w = Window.partitionBy("path").orderBy("block")
+            blocks = lines.groupBy(*by).agg(F.sum(size).alias("n")).withColumn("earlier", F.sum("n").over(w) - F.col("n")).where(F.col("earlier") < max_bytes).drop("n")
+            out, before = out.join(blocks, by), before + F.col("earlier")
+        out = out.withColumn("before", before).where(F.col("before") < max_bytes).drop("before", "earlier")
     return out
 
 

@@ -146,7 +146,7 @@ def extract_window(spark: SparkSession, root: str, output: str, start: datetime,
     if bundle is not None:
         name = F.regexp_extract("rel", ingest.SNAPSHOT, 2)
         direct = files.where((name != "") & classify.suffix(F.col("rel")).isin(classify.TEXT_SUFFIXES))
-        texts = ingest.whole_texts(direct, max_scan_mb << 20).select(F.regexp_extract("rel", ingest.SNAPSHOT, 1).alias("interval_id"), F.regexp_extract("rel", ingest.SNAPSHOT, 2).alias("name"), "text")
+        texts = ingest.whole_texts(direct, size=max_scan_mb << 20).select(F.regexp_extract("rel", ingest.SNAPSHOT, 1).alias("interval_id"), F.regexp_extract("rel", ingest.SNAPSHOT, 2).alias("name"), "text")
         times = sinks.rows_of(windows.interval_times(texts))
         chosen = sorted((t for t in times if start <= t["ts"].replace(tzinfo=start.tzinfo) <= end), key=lambda t: t["interval_id"])
         unread = sorted(set(bundles.interval_ids(bundle)) - {t["interval_id"] for t in times})
@@ -205,7 +205,7 @@ def capture_times(files: DataFrame, strict: bool) -> DataFrame:
     name = F.regexp_extract("rel", ingest.SNAPSHOT, 2)
     head = ingest.whole_texts(files.where(name == "metrics.json"))
     if not strict:
-        head = head.unionByName(ingest.whole_texts(files.where(name.isin("allocations.json", "evaluations.json", "nodes.json")), PROBE))
+        head = head.unionByName(ingest.whole_texts(files.where(name.isin("allocations.json", "evaluations.json", "nodes.json")), chars=PROBE))
     head = head.select(F.regexp_extract("rel", ingest.SNAPSHOT, 1).alias("interval_id"), F.regexp_extract("rel", ingest.SNAPSHOT, 2).alias("name"), "text")
     order = F.array_position(F.array(*[F.lit(n) for n in ("metrics.json", "allocations.json", "evaluations.json", "nodes.json")]), F.col("name"))
     own = timestamps.parse_timestamp(F.get_json_object("text", "$.Timestamp"))

@@ -1,13 +1,12 @@
-"""Reading captured files into rows: the one stage that needs Python.
+"""Captured files as rows: lines, JSON records, events.
 
 Whole documents must be told from concatenated or cut ones, and no JVM parser does that (they return the first
-document of several and call it well). Files are opened read-only where their rows are needed, each by
-one task, and everything after is column expressions.
+document of several and call it well), so records are told in Python. Files are opened by Spark (splits.py), large ones by
+many tasks, and everything after is column expressions.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Iterable, Iterator
 
@@ -15,6 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import graphs
+from . import splits
+from .splits import compact
+
 WRAPPERS = {
     "allocations.json": ["Allocations", "Items"],
     "evaluations.json": ["Evaluations", "Items"],
@@ -22,15 +25,11 @@ WRAPPERS = {
     "nodes.json": ["Nodes", "Items"],
     "deployments.json": ["Deployments", "Items"],
 }
-RECORDS = "path string, rel string, mode string, elem_idx int, record_json string"
+RECORDS = "rel string, mode string, elem_idx int, record_json string"
 BATCH = 2000
 SNAPSHOT = r"(?:^|/)interval/([0-9]+)/([^/]+)$"
 
 
-def compact(value) -> str:
-    return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
-
-
 def parse_documents(text: str) -> tuple[list[tuple[int, object]], str]:
     """((line, value) of each document, mode): empty, json, json-lines or unparseable. Lines that don't parse
     are left out if any does."""
@@ -75,56 +74,115 @@ def nested_with_id(value, ids: list[str], wanted: str) -> Iterator[dict]:
             stack.extend(reversed(v))
 
 
-def _text(path: str) -> str | None:
-    try:
-        with open(path, encoding="utf-8", errors="replace") as f:
-            return f.read()
-    except OSError:
-        return None
-
-
-def _spread(files: DataFrame) -> DataFrame:
-    """One file after another to as many tasks as there are slots."""
-    n = min(max(1, files.count()), files.sparkSession.sparkContext.defaultParallelism * 4)
-    return files.select("path", "rel").repartition(n)
+def _frames(names: list[str], rows):
+    """Rows as frames of BATCH at most."""
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= BATCH:
+            yield pd.DataFrame(held, columns=names)
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=names)
 
 
-def _rows(files: DataFrame, read, schema: str) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
+def _line_values(lines: DataFrame, read, schema: str) -> DataFrame:
+    """lines(rel, block, line_no, line) through read(rel, value), for the lines that are JSON each: rel, block, line_no, inner, ..
+    A line's rows count from 0; one that gives none keeps a row with null."""
+    names = ["rel", "block", "line_no", "inner", schema.split()[0]]
 
-    def run(frames):
+    def rows(frames):
         for frame in frames:
-            held: list[tuple] = []
-            for path, rel in zip(frame["path"], frame["rel"]):
-                for row in read(path, rel):
-                    held.append(row)
-                    if len(held) >= BATCH:
-                        yield pd.DataFrame(held, columns=names)
-                        held = []
-            if held:
-                yield pd.DataFrame(held, columns=names)
-
-    return _spread(files).mapInPandas(run, schema)
-
-
-def json_records(files: DataFrame, wrappers: list[str] | None = None, ids: list[str] | None = None, deep_id: tuple[list[str], str] | None = None) -> DataFrame:
-    """files(path, rel) -> path, rel, mode, elem_idx, record_json; a file without records keeps one row with its
-    mode and null. wrappers: by default those of the file's name. deep_id (keys, id): nested objects of
-    that id instead."""
-
-    def read(path, rel):
-        text = _text(path)
-        docs, mode = parse_documents(text) if text is not None else ([], "unparseable")
-        keys = wrappers if wrappers is not None else WRAPPERS.get(rel.rpartition("/")[2], ["Items"])
-        n = 0
-        for _, value in docs:
-            for record in nested_with_id(value, *deep_id) if deep_id else unwrapped(value, keys, ids):
-                yield path, rel, mode, n, compact(record)
-                n += 1
-        if not n:
-            yield path, rel, mode, None, None
-
-    return _rows(files, read, RECORDS).withColumn("elem_idx", F.col("elem_idx").cast("int"))
+            for rel, block, number, line in zip(frame["rel"], frame["block"], frame["line_no"], frame["line"]):
+                if line := line.strip():
+                    try:
+                        value = json.loads(line)
+                    except ValueError:
+                        continue
+                    found = list(read(rel, value)) or [None]
+                    for n, x in enumerate(found):
+                        yield rel, block, number, n, x
+
+    return lines.select("rel", "block", "line_no", "line").mapInPandas(lambda frames: _frames(names, rows(frames)), f"rel string, block long, line_no long, inner long, {schema}")
+
+
+def json_records(files: DataFrame, wrappers: list[str] | None = None, ids: list[str] | None = None, deep_id: tuple[list[str], str] | None = None, whole_bytes: int | None = None) -> DataFrame:
+    """files(path, rel, length) -> rel, mode, elem_idx (from 0 in a file), record_json; a file without records keeps one row with its
+    mode and null. wrappers: by default those of the file's name. deep_id (keys, id): nested objects of that id instead.
+
+    Files over whole_bytes are read by many tasks: a list's, or a wrapped list's, elements one by one, else lines. A lone object is one
+    record and read as a whole. The outermost object of a large file with wrapped lists is not held against a deep id itself, and one
+    that is a bare text or number counts as lines."""
+    spark = files.sparkSession
+    small, large = splits.divided(files, whole_bytes)
+
+    def keys_of(rel):
+        return wrappers if wrappers is not None else WRAPPERS.get(rel.rpartition("/")[2], ["Items"])
+
+    def found_in(rel, value):
+        return nested_with_id(value, *deep_id) if deep_id else unwrapped(value, keys_of(rel), ids)
+
+    def of_texts(texts: DataFrame) -> DataFrame:
+        def rows(frames):
+            for frame in frames:
+                for rel, text in zip(frame["rel"], frame["text"]):
+                    docs, mode = parse_documents(text)
+                    n = 0
+                    for _, value in docs:
+                        for record in found_in(rel, value):
+                            yield rel, mode, n, compact(record)
+                            n += 1
+                    if not n:
+                        yield rel, mode, None, None
+
+        names = [c.split()[0] for c in RECORDS.split(", ")]
+        return texts.mapInPandas(lambda frames: _frames(names, rows(frames)), RECORDS)
+
+    visible = splits.there(spark, large)
+    elements, docs = splits.split_documents(spark, visible) if visible else (None, {})
+    chosen = {}
+    for rel, doc in docs.items():
+        if doc["top"] == "[":
+            chosen[rel] = None
+        elif deep_id and doc["lists"]:
+            chosen[rel] = None
+        elif key := next((k for k in keys_of(rel) if k in (doc["lists"] or [])), None):
+            chosen[rel] = key
+    whole = [r for r in large if r not in visible or (r[1] in docs and r[1] not in chosen)]
+    out = of_texts(splits.whole_texts(spark, small + whole))
+    if gone := [(r[1], "unparseable", None, None) for r in small + whole if not splits.hidden(r) and r not in set(splits.there(spark, small + whole))]:
+        out = out.unionByName(spark.createDataFrame(gone, RECORDS))
+    if chosen:
+        pick = spark.createDataFrame(list(chosen.items()), "rel string, chosen string")
+        kept = elements.join(F.broadcast(pick) if len(chosen) <= splits.BROADCAST_ROWS else pick, "rel").where("chosen is null or (key = chosen and position is not null)")
+
+        def rows(frames):
+            for frame in frames:
+                for rel, block, k, value in zip(frame["rel"], frame["block"], frame["k"], frame["value"]):
+                    value = json.loads(value)
+                    found = nested_with_id(value, *deep_id) if deep_id else [value] if isinstance(value, dict) else []
+                    for n, x in enumerate(found):
+                        yield rel, block, k, n, compact(x)
+
+        names = ["rel", "block", "k", "inner", "record_json"]
+        got = graphs.cut(kept.select("rel", "block", "k", "value").mapInPandas(lambda frames: _frames(names, rows(frames)), "rel string, block long, k long, inner long, record_json string"))
+        got = splits.ordinals(got, "rel", ["k", "inner"], "n").select("rel", F.lit("json").alias("mode"), (F.col("n") - 1).cast("int").alias("elem_idx"), "record_json")
+        out = out.unionByName(got).unionByName(_without(pick, got, F.lit("json")))
+    lined = [r for r in visible if r[1] not in docs]
+    if lined:
+        lines = splits.split_lines(spark, lined)
+        parsed = graphs.cut(_line_values(lines, lambda rel, value: map(compact, found_in(rel, value)), "record_json string"))
+        got = splits.ordinals(parsed.where("record_json is not null"), "rel", ["line_no", "inner"], "n").select("rel", F.lit("json-lines").alias("mode"), (F.col("n") - 1).cast("int").alias("elem_idx"), "record_json")
+        told = lines.groupBy("rel").agg(F.max(F.trim("line") != "").alias("text")).join(parsed.select("rel", F.lit(True).alias("json")).distinct(), "rel", "left")
+        mode = F.when(F.col("json"), "json-lines").when(F.col("text"), "unparseable").otherwise("empty")
+        out = out.unionByName(got).unionByName(_without(told, got, mode))
+    return out
+
+
+def _without(files: DataFrame, got: DataFrame, mode) -> DataFrame:
+    """A row for each of the files that no record was got from."""
+    lone = files.select("rel", mode.alias("mode")).join(got.select("rel").distinct(), "rel", "left_anti")
+    return lone.select("rel", "mode", F.lit(None).cast("int").alias("elem_idx"), F.lit(None).cast("string").alias("record_json"))
 
 
 def snapshots(files: DataFrame, artifacts: list[str], **how) -> DataFrame:
@@ -134,73 +192,41 @@ def snapshots(files: DataFrame, artifacts: list[str], **how) -> DataFrame:
     return found.withColumn("interval_id", F.regexp_extract("rel", SNAPSHOT, 1)).withColumn("artifact", rel)
 
 
-def event_records(files: DataFrame) -> DataFrame:
+def event_records(files: DataFrame, whole_bytes: int | None = None) -> DataFrame:
     """files of event streams -> rel, line_no, record_json. A list's elements are numbered from 1; a lone object
-    is 1; else lines. Wrapped batches stay as they are."""
-
-    def read(path, rel):
-        docs, mode = parse_documents(_text(path) or "")
-        if mode == "json" and isinstance(docs[0][1], list):
-            docs = list(enumerate(docs[0][1], 1))
-        for n, value in docs:
-            if isinstance(value, dict):
-                yield rel, n, compact(value)
-
-    return _rows(files, read, "rel string, line_no int, record_json string")
+    is 1; else lines. Wrapped batches stay as they are. Files over whole_bytes are read by many tasks."""
+    spark = files.sparkSession
+    small, large = splits.divided(files, whole_bytes)
+    visible = splits.there(spark, large)
+    elements, docs = splits.split_documents(spark, visible) if visible else (None, {})
+    lists = {rel for rel, doc in docs.items() if doc["top"] == "["}
+    whole = [r for r in large if r not in visible or (r[1] in docs and r[1] not in lists)]
+    names = ["rel", "line_no", "record_json"]
+
+    def rows(frames):
+        for frame in frames:
+            for rel, text in zip(frame["rel"], frame["text"]):
+                found, mode = parse_documents(text)
+                if mode == "json" and isinstance(found[0][1], list):
+                    found = list(enumerate(found[0][1], 1))
+                for n, value in found:
+                    if isinstance(value, dict):
+                        yield rel, n, compact(value)
+
+    schema = "rel string, line_no long, record_json string"
+    out = splits.whole_texts(spark, small + whole).mapInPandas(lambda frames: _frames(names, rows(frames)), schema)
+    if lists:
+        out = out.unionByName(elements.where("key is null and startswith(value, '{')").select("rel", F.col("position").alias("line_no"), F.col("value").alias("record_json")))
+    lined = [r for r in visible if r[1] not in docs]
+    if lined:
+        objects = _line_values(splits.split_lines(spark, lined), lambda rel, value: [compact(value)] if isinstance(value, dict) else [], "record_json string")
+        out = out.unionByName(objects.where("record_json is not null").select("rel", "line_no", "record_json"))
+    return out
 
 
 def text_lines(files: DataFrame) -> DataFrame:
-    """files -> path (relative), line_no from 1, line without its end; any line end counts, bad bytes become U+FFFD.
-    Read line by line, so no file is held as a whole."""
-
-    def read(path, rel):
-        try:
-            with open(path, encoding="utf-8", errors="replace") as f:
-                for n, line in enumerate(f, 1):
-                    yield rel, n, line.removesuffix("\n")
-        except OSError:
-            return
-
-    return _rows(files, read, "path string, line_no int, line string")
-
-
-def whole_texts(files: DataFrame, most: int | None = None) -> DataFrame:
-    """rel, text: the first `most` characters of each file."""
-
-    def read(path, rel):
-        try:
-            with open(path, encoding="utf-8", errors="replace") as f:
-                yield rel, f.read(most if most is not None else -1)
-        except OSError:
-            return
-
-    return _rows(files, read, "rel string, text string")
-
-
-def hashed(files: DataFrame) -> DataFrame:
-    """rel, sha256 of each file, read in pieces; ERROR if it can't be read."""
-
-    def read(path, rel):
-        h = hashlib.sha256()
-        try:
-            with open(path, "rb") as f:
-                while piece := f.read(1 << 20):
-                    h.update(piece)
-            yield rel, h.hexdigest()
-        except OSError:
-            yield rel, "ERROR"
-
-    return _rows(files, read, "rel string, sha256 string")
-
-
-def unreadable(files: DataFrame) -> DataFrame:
-    """rel, error of files that can't be opened."""
+    """files -> path (relative), line_no from 1, line without its end; any line end counts, bad bytes become U+FFFD."""
+    return splits.lines(files)
 
-    def read(path, rel):
-        try:
-            with open(path, "rb"):
-                return
-        except OSError as e:
-            yield rel, type(e).__name__
 
-    return _rows(files, read, "rel string, error string")
+whole_texts, hashed, unreadable = splits.heads, splits.hashes, splits.unreadable
