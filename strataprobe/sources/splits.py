@@ -187,7 +187,9 @@ def heads(files: DataFrame, chars: int | None = None, size: int | None = None, w
         w = Window.partitionBy("file").orderBy("block", "id").rowsBetween(Window.unboundedPreceding, -1)
         parts = parts.withColumn("seen", F.coalesce(F.sum((F.length("piece") if chars is not None else F.octet_length("piece")) + 1).over(w), F.lit(0))).where(F.col("seen") < most)
         text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "id", "piece"))), lambda x: x["piece"]), separator)
-        out = out.unionByName(parts.groupBy("file").agg(text.alias("text")).join(_known(spark, some), "file").select("rel", "text"))
+        joined = parts.groupBy("file").agg(text.alias("text")).join(_known(spark, some), "file")
+        more = F.when(F.octet_length("text") < F.col("bytes"), separator).otherwise("")
+        out = out.unionByName(joined.select("rel", F.concat("text", more).alias("text")))
     if chars is not None:
         return out.withColumn("text", F.substring("text", 1, chars))
     return out.withColumn("text", F.when(F.octet_length("text") <= size, F.col("text")).otherwise(F.make_valid_utf8(F.substring(F.col("text").cast("binary"), 1, size).cast("string"))))
