@@ -199,8 +199,8 @@ def hashes(files: DataFrame, most: int = 512 << 20) -> DataFrame:
     """rel, sha256 of each file; ERROR if it can't be read. Hashing is a chain, so each file is one task's: in the JVM, or, beyond
     `most` bytes, by path, in pieces."""
     spark = files.sparkSession
-    rows = names_of(files)
-    seen = _there(spark, [r for r in rows if not hidden(r) and r[2] <= most])
+    rows = [r for r in names_of(files) if r[2]]
+    seen = there(spark, [r for r in rows if r[2] <= most])
     rest = [r for r in rows if hidden(r) or r[2] > most]
     out = spark.createDataFrame([], "rel string, sha256 string")
     if seen:
@@ -221,7 +221,8 @@ def hashes(files: DataFrame, most: int = 512 << 20) -> DataFrame:
                     yield pd.DataFrame({"rel": [rel], "sha256": [h.hexdigest()]})
 
         out = out.unionByName(spark.createDataFrame(rest, "path string, rel string, length long").repartition(len(rest)).mapInPandas(read, "rel string, sha256 string"))
-    return files.select("rel").join(out, "rel", "left").withColumn("sha256", F.coalesce("sha256", F.lit("ERROR")))
+    known = F.coalesce("sha256", F.when(F.col("length") == 0, F.sha2(F.lit(""), 256)).otherwise("ERROR"))
+    return files.select("rel", "length").join(out, "rel", "left").select("rel", known.alias("sha256"))
 
 
 def unreadable(files: DataFrame) -> DataFrame:
