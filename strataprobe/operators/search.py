@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import category_rank
 from ..functions.text import excerpt_around, occurrences
 
+#: Identifiers up to which a search is column expressions.
+FEW = 64
 LINE_END = r"\r\n|\n|\r"
 
 
@@ -18,12 +21,15 @@ def numbered_lines(texts: DataFrame, path_col: str, text_col: str) -> DataFrame:
     return texts.select(F.col(path_col).alias("path"), F.posexplode(parts).alias("at", "line")).select("path", (F.col("at") + 1).alias("line_no"), "line")
 
 
-def line_matches(lines: DataFrame, identifiers: list[str], ignore_case: bool = False) -> DataFrame:
-    """lines(path, line_no, line) -> identifier, path, line_no, line, occurrences. Every identifier is
-    tested while its line is at hand: no join, and lines without a match go before any shuffle."""
+def line_matches(lines: DataFrame, identifiers: list[str], ignore_case: bool = False, few: int = FEW) -> DataFrame:
+    """lines(path, line_no, line) -> identifier, path, line_no, line, occurrences (from left to right, none over another of the
+    same identifier). Every identifier is tested while its line is at hand: no join, and lines without a match go before any
+    shuffle. Up to `few` identifiers are column expressions; more are one automaton, whose work a line does not grow with them."""
     wanted = list(dict.fromkeys(identifiers))
     if not wanted or any(not x for x in wanted):
         raise ValueError("identifiers must be given and not empty")
+    if len(wanted) > few:
+        return automaton_matches(lines, wanted, ignore_case)
     fold = F.lower if ignore_case else (lambda c: c)
     some = F.lit(False)
     for x in wanted:
@@ -34,6 +40,41 @@ def line_matches(lines: DataFrame, identifiers: list[str], ignore_case: bool = F
     )
 
 
+def automaton_matches(lines: DataFrame, wanted: list[str], ignore_case: bool = False) -> DataFrame:
+    """line_matches() by an Aho-Corasick automaton, built once a task: one pass over a line finds all identifiers."""
+    spelled: dict[str, list[str]] = {}
+    for x in wanted:
+        spelled.setdefault(x.lower() if ignore_case else x, []).append(x)
+
+    def run(batches):
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for key in spelled:
+            machine.add_word(key, key)
+        machine.make_automaton()
+        for batch in batches:
+            at, names, counts = [], [], []
+            for i, line in enumerate(batch.column("line").to_pylist()):
+                if line is None:
+                    continue
+                found: dict[str, list[int]] = {}  # count, and the first place that is free
+                for end, key in machine.iter(line.lower() if ignore_case else line):
+                    seen = found.setdefault(key, [0, 0])
+                    if end - len(key) + 1 >= seen[1]:
+                        seen[0] += 1
+                        seen[1] = end + 1
+                for key, (n, _) in found.items():
+                    for x in spelled[key]:
+                        at.append(i), names.append(x), counts.append(n)
+            taken = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *taken.columns, pa.array(counts, pa.int32())], ["identifier", *taken.schema.names, "occurrences"])
+
+    kept = lines.select("path", "line_no", "line")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
+    return kept.mapInArrow(run, f"identifier string, {schema}, occurrences int").select("path", "line_no", "line", "identifier", "occurrences")
+
+
 def match_counts(matches: DataFrame) -> DataFrame:
     return matches.groupBy("identifier", "path").agg(
         F.sum("occurrences").alias("match_count"),

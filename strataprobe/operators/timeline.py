@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.classify import is_debug_traffic, relevance, timeline_event
 from ..functions.text import excerpt_first_of, without_leading_stamp
 from ..functions.timestamps import first_timestamp, in_window, iso_utc
+from .ordinals import running_sum, with_ordinal
 
 COLUMNS = ["ts", "source_type", "source_file", "source_line", "object_type", "object_id", "event", "details", "relevance", "source_group"]
-#: Events of which the collapsed view is made; the CSV file beside it has all.
-VIEW_EVENTS = 20_000
 
 
 def holds_any(text, needles: list[str]):
@@ -91,13 +90,16 @@ def collapsed(events: DataFrame, order: list, signature, keep=None, partition: l
     return out.withColumn("step", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("island", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("step", "sig")
 
 
-def collapsed_view(events: DataFrame, most: int = VIEW_EVENTS) -> DataFrame:
-    """Consecutive unchanged snapshot rows as one row that names the span; other rows as they are. A view to
-    read: it is made of the first `most` events, so that no task has more to order."""
+def collapsed_view(events: DataFrame) -> DataFrame:
+    """Consecutive unchanged snapshot rows as one row that names the span; other rows as they are, all in order, with their
+    number as ordinal. Neighbours are met by their numbers, so no task orders the whole."""
     sig = F.concat_ws("\u0001", "object_type", "object_id", F.regexp_replace("details", r"interval \d{4}", "interval NNNN"))
-    order = [F.col("ts").asc_nulls_last(), "source_type", "source_file", F.coalesce("source_line", F.lit(-1))]
-    runs = collapsed(events.orderBy(*order).limit(most), order, sig, keep=F.col("source_type") != "interval_snapshot")
-    row = F.struct(F.coalesce(F.unix_micros("ts"), F.lit(2**62)).alias("o"), "source_type", "source_file", F.coalesce("source_line", F.lit(-1)).alias("l"), *[F.col(c).alias("v_" + c) for c in COLUMNS])
+    order = [F.col("ts").asc_nulls_last(), "source_type", "source_file", F.coalesce("source_line", F.lit(-1)), "object_type", "object_id", "event", "details"]
+    rows = with_ordinal(events, order).withColumn("sig", F.when(F.col("source_type") == "interval_snapshot", sig))
+    before = rows.select((F.col("ordinal") + 1).alias("ordinal"), F.col("sig").alias("sig_before"))
+    step = F.when(F.coalesce(F.col("sig") == F.col("sig_before"), F.lit(False)), 0).otherwise(1)
+    runs = running_sum(rows.join(before, "ordinal", "left"), step, "ordinal", "island")
+    row = F.struct("ordinal", *[F.col(c).alias("v_" + c) for c in COLUMNS])
     g = runs.groupBy("island").agg(F.count("*").alias("n"), F.min(row).alias("a"), F.max(row).alias("z"))
     v = lambda c: F.col(f"a.v_{c}")
     many = F.col("n") > 1
@@ -109,4 +111,5 @@ def collapsed_view(events: DataFrame, most: int = VIEW_EVENTS) -> DataFrame:
         "details": span,
         "source_group": F.lit(""),
     }
-    return g.orderBy("island").select(*[F.when(many, changed[c]).otherwise(v(c)).alias(c) if c in changed else v(c).alias(c) for c in COLUMNS])
+    shown = [F.when(many, changed[c]).otherwise(v(c)).alias(c) if c in changed else v(c).alias(c) for c in COLUMNS]
+    return g.select(*shown, (F.col("island") - 1).alias("ordinal")).orderBy("ordinal")

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import atexit
 import json
+import re
 import shutil
 import tempfile
+import uuid
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -74,18 +76,28 @@ WITH_LINES = f"WITH ev AS ({EVENTS_SQL}), l AS (SELECT path, row_number() OVER (
 _made: dict[str, Path] = {}
 
 
-def scratch() -> Path:
-    path = Path(tempfile.mkdtemp(prefix="strataprobe-case-"))
+def scratch(spark: SparkSession) -> Path:
+    """A new folder that driver and executors share: below spark.checkpoint.dir where that is a folder of a mounted file system;
+    else, where all runs on this machine, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or ""
+    if shared.startswith("file:") or shared.startswith("/"):
+        below = Path(re.sub("^file:/+", "/", shared))
+        below.mkdir(parents=True, exist_ok=True)
+    elif spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        below = None
+    else:
+        raise RuntimeError("spark.checkpoint.dir must name a mounted folder that driver and executors share")
+    path = Path(tempfile.mkdtemp(prefix="strataprobe-case-", dir=below))
     atexit.register(shutil.rmtree, path, ignore_errors=True)
     return path
 
 
 def case(spark: SparkSession, sf_dir: str) -> Path:
     """A case directory with the bundle nomad-debug-sf and two files beside it; made once a process for each sf_dir.
-    The tools read local paths, so it is on this machine."""
+    Its files are written in parts by many tasks; the driver puts the parts of each together, byte by byte."""
     if sf_dir in _made and _made[sf_dir].is_dir():
         return _made[sf_dir]
-    root = scratch()
+    root = scratch(spark)
     bundle = root / "nomad-debug-sf"
     e = tables.events(spark, sf_dir)
     iso = F.date_format(F.to_utc_timestamp("ts", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -94,11 +106,14 @@ def case(spark: SparkSession, sf_dir: str) -> Path:
     evals = c.selectExpr("cast(floor(c_custkey / 10) as bigint) AS e").distinct()
 
     def put(name: str, df: DataFrame, line: str, order: str) -> None:
-        """One file, its lines in order."""
-        part = root / "parts"
-        df.selectExpr(f"{order} AS k", f"{line} AS value").repartition(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(f"file://{part}")
+        """One file, its lines in order: ranges of lines, written side by side."""
+        part = root / "parts" / uuid.uuid4().hex
+        df.selectExpr(f"{order} AS k", f"{line} AS value").repartitionByRange("k").sortWithinPartitions("k").select("value").write.text(f"file://{part}")
         (bundle / name).parent.mkdir(parents=True, exist_ok=True)
-        shutil.move(next(part.glob("part-*")), bundle / name)
+        with open(bundle / name, "wb") as out:
+            for piece in sorted(part.glob("part-*")):
+                with open(piece, "rb") as f:
+                    shutil.copyfileobj(f, out, 1 << 20)
 
     put("cluster/eventstream.json", e, EVENT, "event_id")
     put("server/s1/monitor.log", e.where("user_id % 2 = 0"), LOG, "event_id")
@@ -132,7 +147,7 @@ def report(spark: SparkSession, path: Path, *columns: str) -> DataFrame:
 )
 def tool_inventory(spark, sf_dir):
     """The catalogue of the bundle's files."""
-    out = tools.inventory_bundle(spark, bundle_of(spark, sf_dir), str(scratch() / "out"))
+    out = tools.inventory_bundle(spark, bundle_of(spark, sf_dir), str(scratch(spark) / "out"))
     return report(spark, out / "inventory.csv", "relative_path", "size_bytes", "extension", "kind", "sha256", "line_count", "first_timestamp", "last_timestamp", "scan_status")
 
 
@@ -146,7 +161,7 @@ SELECT identifier, path AS relative_path, sum(n)::BIGINT::VARCHAR AS match_count
 )
 def tool_find(spark, sf_dir):
     """Exact occurrences in all text files."""
-    out = tools.find_identifiers(spark, bundle_of(spark, sf_dir), WANTED, str(scratch() / "out"))
+    out = tools.find_identifiers(spark, bundle_of(spark, sf_dir), WANTED, str(scratch(spark) / "out"))
     return report(spark, out / "results.csv", "identifier", "relative_path", "match_count", "matching_lines", "first_match_line", "last_match_line")
 
 
@@ -159,7 +174,7 @@ UNION ALL SELECT 'filtered_lines', path, cast(sum(strlen(line) + 1) AS string),
 )
 def tool_window(spark, sf_dir):
     """What lies inside a window."""
-    run = tools.extract_window(spark, bundle_of(spark, sf_dir), str(scratch()), datetime(2024, 1, 10, tzinfo=UTC), datetime(2024, 1, 10, 2, 30, tzinfo=UTC))
+    run = tools.extract_window(spark, bundle_of(spark, sf_dir), str(scratch(spark)), datetime(2024, 1, 10, tzinfo=UTC), datetime(2024, 1, 10, 2, 30, tzinfo=UTC))
     return report(spark, run / "manifest.csv", "action", "relative_path", "source_size_bytes", "output_sha256", "matched_lines", "detected_first_timestamp", "detected_last_timestamp")
 
 
@@ -174,7 +189,7 @@ UNION ALL (SELECT line[:20], 'monitor_log', path, line_no::VARCHAR, CASE WHEN co
 )
 def tool_history(spark, sf_dir):
     """One allocation's history."""
-    run = tools.alloc_history(spark, bundle_of(spark, sf_dir), alloc_id(2), str(scratch()))
+    run = tools.alloc_history(spark, bundle_of(spark, sf_dir), alloc_id(2), str(scratch(spark)))
     return report(spark, run / "timeline.csv", "timestamp_utc", "source_type", "source_file", "source_line", "event")
 
 
@@ -187,7 +202,7 @@ UNION ALL (SELECT line[:20] AS t, 'server_monitor_log', path, line_no::VARCHAR,
 )
 def tool_correlate(spark, sf_dir):
     """One timeline of all sources; the next allocation names this one."""
-    run = tools.correlate_timeline(spark, bundle_of(spark, sf_dir), str(scratch()), allocs=[alloc_id(2)])
+    run = tools.correlate_timeline(spark, bundle_of(spark, sf_dir), str(scratch(spark)), allocs=[alloc_id(2)])
     return report(spark, run / "timeline.csv", "timestamp_utc", "source_type", "source_file", "source_line", "object_type", "object_id", "event")
 
 
@@ -199,7 +214,7 @@ FROM customer WHERE c_custkey BETWEEN 1 AND 10""",
 )
 def tool_lineage(spark, sf_dir):
     """An allocation's chain."""
-    run = tools.alloc_lineage(spark, bundle_of(spark, sf_dir), alloc_id(5), str(scratch()))
+    run = tools.alloc_lineage(spark, bundle_of(spark, sf_dir), alloc_id(5), str(scratch(spark)))
     return report(spark, run / "lineage.csv", "allocation_id", "depth_from_seed", "job_id", "eval_id", "client_status", "predecessors", "successors", "first_seen_interval", "last_seen_interval")
 
 
@@ -211,7 +226,7 @@ SELECT {_id(9, 'e')} AS evaluation_id, abs(e - 2)::VARCHAR AS depth_from_seed, '
 )
 def tool_trace(spark, sf_dir):
     """The evaluations linked to an allocation's, and what they made."""
-    run = tools.eval_trace(spark, bundle_of(spark, sf_dir), str(scratch()), alloc=alloc_id(25))
+    run = tools.eval_trace(spark, bundle_of(spark, sf_dir), str(scratch(spark)), alloc=alloc_id(25))
     return report(spark, run / "eval_trace.csv", "evaluation_id", "depth_from_seed", "status", "previous_eval", "next_eval", "related_allocations")
 
 
@@ -230,7 +245,7 @@ UNION ALL SELECT 'allocation_id', '{alloc_id(999_999_999)}', 'not observed in ca
 )
 def tool_review(spark, sf_dir):
     """A case's identifiers against what was captured."""
-    out = scratch()
+    out = scratch(spark)
     context = {"schema_version": 1, "classification": "test", "case_reference": "TS000000001", "seeds": SEEDS, "claims_to_test": [{"id": "1", "claim": "it moved"}]}
     (out / "context.json").write_text(json.dumps(context))
     run = tools.case_review(spark, bundle_of(spark, sf_dir), str(out / "context.json"), str(out / "runs"))
@@ -245,5 +260,5 @@ UNION ALL SELECT 'rows.csv', 'tabular_export', sum(strlen(n_name) + 1)::BIGINT::
 )
 def tool_intake(spark, sf_dir):
     """The bundle of a case directory and what lies beside it."""
-    run = tools.case_intake(spark, str(case(spark, sf_dir)), str(scratch()))
+    run = tools.case_intake(spark, str(case(spark, sf_dir)), str(scratch(spark)))
     return report(spark, run / "artifacts.csv", "path", "category", "size_bytes", "status")

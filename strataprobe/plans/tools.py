@@ -7,7 +7,6 @@ read. Input problems raise InputError (exit code 2); a seed that can't be resolv
 from __future__ import annotations
 
 import re
-import shutil
 from datetime import datetime
 from pathlib import Path
 
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, records, text, timestamps
 from ..operators import changes, graphs, inventory, review, search, timeline, windows
-from ..sources import bundles, ingest, sinks
+from ..sources import bundles, ingest, placed, sinks
 
 STREAM = "cluster/eventstream.json"
 
@@ -161,24 +160,11 @@ def extract_window(spark: SparkSession, root: str, output: str, start: datetime,
             index = F.regexp_extract(F.regexp_extract("rel", r"(?:^|/)(?:server|client)/[^/]+/([^/]+)$", 1), classify.PROFILE_NAME, 1)
             picked = picked.unionByName(files.where(index.isin(ids or [""]) & (index != "")).select("rel", F.lit("copied_profile").alias("action"), F.concat(F.lit("profile index "), index).alias("note")))
     picked = picked.dropDuplicates(["rel"]).cache()
-    for r in picked.select("rel").toLocalIterator():
-        target = extracted / r["rel"]
-        target.parent.mkdir(parents=True, exist_ok=True)
-        shutil.copyfile(root_p / r["rel"], target)
+    sinks.copied(picked.join(files.select("rel", "path"), "rel").select("rel", "path"), extracted)
     rel, ext = F.col("rel"), classify.suffix(F.col("rel"))
     scanned = files.join(picked, "rel", "left_anti").where(ext.isin(classify.TEXT_SUFFIXES) & ~F.regexp_like(classify.file_name(rel), F.lit(classify.DUMP_NAME)) & ((ext != ".json") | (classify.file_name(rel) == "eventstream.json")))
     inside = windows.lines_inside(ingest.text_lines(scanned), start, end).cache()
-    current, handle = None, None
-    for r in inside.orderBy("path", "line_no").select("path", "line").toLocalIterator():
-        if r["path"] != current:
-            if handle:
-                handle.close()
-            current = r["path"]
-            (extracted / current).parent.mkdir(parents=True, exist_ok=True)
-            handle = open(extracted / current, "w", encoding="utf-8", newline="")  # noqa: SIM115
-        handle.write(r["line"] + "\n")
-    if handle:
-        handle.close()
+    placed.write_placed(inside.select(F.col("path").alias("file"), F.concat("line", F.lit("\n")).alias("data"), "line_no"), extracted, ["file", "line_no"])
     copied = picked.select("action", F.col("rel").alias("relative_path"), F.lit(None).cast("long").alias("matched_lines"), F.lit("").alias("detected_first_timestamp"), F.lit("").alias("detected_last_timestamp"), "note")
     got = bundles.listing(spark, extracted) if extracted.exists() else spark.createDataFrame([], bundles.LISTING)
     source = files.join(ingest.hashed(files), "rel").select(rel.alias("relative_path"), F.col("length").alias("source_size_bytes"), F.col("sha256").alias("source_sha256"))
@@ -364,8 +350,8 @@ def correlate_timeline(
         "monitor_matches": kept.count(), "suppressed_debug_lines": 0 if include_debug_traffic else hits.where("noise").count(), **stats_of(snaps),
     }
     sinks.json_file(summary, run / "summary.json")
-    head = "Timeline, unchanged snapshots as one row" + (f", of the first {timeline.VIEW_EVENTS} of {n} events" if n > timeline.VIEW_EVENTS else "")
-    sinks.markdown_file(run / "timeline.md", "Correlated timeline", ("Summary", sinks.markdown_table(["what", "value"], summary.items())), (head, frame_text(show(timeline.collapsed_view(events)))))
+    summary_text = sinks.markdown_table(["what", "value"], summary.items())
+    sinks.markdown_rows(show(timeline.collapsed_view(events)), run / "timeline.md", "Correlated timeline", ("Summary", summary_text), "Timeline, unchanged snapshots as one row")
     for df in (files, snaps, hits, events):
         df.unpersist()
     return run

@@ -1,14 +1,21 @@
-"""Report files: CSV, JSON and Markdown, streamed to one file each; run directories."""
+"""Report files: CSV, JSON and Markdown; run directories."""
 
 from __future__ import annotations
 
 import csv
+import io
 import json
+import os
 import shutil
+import uuid
 from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.graphs import cut
+from .placed import csv_rows, write_placed
 
 
 class RunExists(FileExistsError):
@@ -26,15 +33,48 @@ def run_directory(path: str | Path, overwrite: bool = False) -> Path:
     return path
 
 
-def csv_file(df: DataFrame, path: str | Path) -> int:
-    """One CSV file with header, in df's order. Rows come partition by partition, so the driver holds one
-    partition at most. Returns their number."""
-    n = 0
-    with open(path, "w", newline="", encoding="utf-8") as f:
-        w = csv.writer(f)
-        w.writerow(df.columns)
-        for n, row in enumerate(df.toLocalIterator(), 1):
-            w.writerow(["" if v is None else v for v in row])
+def csv_file(df: DataFrame, path: str | Path, order: list | None = None) -> int:
+    """One CSV file with header, written by many tasks, in df's order, or in the order given. Returns the number of rows."""
+    path = Path(path)
+    header = io.StringIO()
+    csv.writer(header).writerow(df.columns)
+    rows = df.withColumn("data", csv_rows(df)).withColumn("file", F.lit(path.name))
+    if order is None:  # a sorted df keeps its partitions in order, so a number by partition and row is its order
+        rows = cut(rows).withColumn("row_id", F.monotonically_increasing_id())
+        order = ["row_id"]
+    n = write_placed(rows, path.parent, order, header.getvalue()).get(path.name, 0)
+    if not n:
+        path.write_text(header.getvalue(), encoding="utf-8", newline="")
+    return n
+
+
+def copied(files: DataFrame, folder: str | Path) -> None:
+    """files(rel, path): copies below folder, made by many tasks; each appears under its name when it is whole."""
+    target = str(folder)
+
+    def run(frames):
+        for frame in frames:
+            for rel, path in zip(frame["rel"], frame["path"]):
+                to = Path(target) / rel
+                to.parent.mkdir(parents=True, exist_ok=True)
+                part = to.with_name(f"{to.name}.part-{uuid.uuid4().hex[:12]}")
+                shutil.copyfile(path.removeprefix("file://"), part)
+                os.replace(part, to)
+            yield frame[["rel"]]
+
+    slots = files.sparkSession.sparkContext.defaultParallelism * 4
+    files.repartition(slots, "rel").mapInPandas(run, "rel string").agg(F.count("*")).collect()
+
+
+def markdown_rows(df: DataFrame, path: str | Path, title: str, section: tuple[str, str], head: str) -> int:
+    """A Markdown file with a section and a table of all rows of df, in its order, written by many tasks."""
+    path = Path(path)
+    cells = [F.replace(F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")) for c in df.columns]
+    top = f"# {title}\n\n## {section[0]}\n\n{section[1].rstrip()}\n\n## {head}\n\n{markdown_table(df.columns, [])}"
+    rows = cut(df.withColumn("data", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |\n")))).withColumn("row_id", F.monotonically_increasing_id())
+    n = write_placed(rows.withColumn("file", F.lit(path.name)), path.parent, ["row_id"], top).get(path.name, 0)
+    if not n:
+        path.write_text(top, encoding="utf-8")
     return n
 
 

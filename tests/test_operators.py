@@ -73,7 +73,9 @@ def test_collapsed_view(spark):
     got = timeline.collapsed_view(df).collect()
     assert [r["source_file"] for r in got] == ["f1 … f2", "f3", "f4"]
     assert "unchanged across 2" in got[0]["details"]
-    assert [r["source_file"] for r in timeline.collapsed_view(df, most=3).collect()] == ["f1 … f2", "f3"]
+    many = df.sparkSession.range(50_000).selectExpr("timestamp_seconds(1e9 + id) AS ts", "'interval_snapshot' AS source_type", "cast(id as string) AS source_file", "cast(null as int) AS source_line", "'node' AS object_type", "'n' AS object_id", "'e' AS event", "concat('state ', id div 10000, ' interval ', lpad(id % 10000, 4, '0')) AS details", "'' AS relevance", "'' AS source_group")
+    whole = timeline.collapsed_view(many).collect()
+    assert [r["source_file"] for r in whole] == [f"{i * 10_000} … {i * 10_000 + 9999}" for i in range(5)] and [r["ordinal"] for r in whole] == list(range(5))
 
 
 def edges(spark, pairs):
