@@ -59,18 +59,21 @@ def evaluation_edges(evals: DataFrame) -> DataFrame:
 
 def hops_from(edges: DataFrame, seeds: DataFrame, max_depth: int = 50) -> DataFrame:
     """edges(src, dst), seeds(node) -> node, depth: least number of edges, in either direction, up to
-    max_depth. One join and one anti-join a hop, on the frontier alone; each hop is cut."""
+    max_depth. Neighbours of a hop's nodes lie in it, in the one before or in the next, so a hop is a join and two anti-joins
+    on frontiers alone; each is cut."""
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct()
     both = cut(both)
-    seen = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
+    before, frontier = None, cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    seen = [frontier]
     for depth in range(1, max_depth + 1):
-        step = frontier.join(both, frontier["node"] == both["a"]).select(F.col("b").alias("node")).distinct()
-        frontier = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        step = frontier.join(both, frontier["node"] == both["a"]).select(F.col("b").alias("node")).distinct().join(frontier, "node", "left_anti")
+        if before is not None:
+            step = step.join(before, "node", "left_anti")
+        before, frontier = frontier, cut(step.withColumn("depth", F.lit(depth)))
         if not frontier.take(1):
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        seen.append(frontier)
+    return _union(seen)
 
 
 def within(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -21,9 +21,9 @@ def fixed_order(df: DataFrame, order: list) -> DataFrame:
 
 
 def part_offsets(df: DataFrame, size: Column, by: list[str] | None = None) -> DataFrame:
-    """part, (by,) n and before: the sum of size in each partition of a fixed table and in those before it."""
+    """part, (by,) n, rows and before: the sum of size and the rows in each partition of a fixed table, and the size of those before it."""
     by = by or []
-    sizes = df.groupBy(F.spark_partition_id().alias("part"), *by).agg(F.sum(size).cast("long").alias("n"))
+    sizes = df.groupBy(F.spark_partition_id().alias("part"), *by).agg(F.sum(size).cast("long").alias("n"), F.count("*").alias("rows"))
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("part")  # a row for each partition alone
     return sizes.withColumn("before", F.sum("n").over(w) - F.col("n"))
 

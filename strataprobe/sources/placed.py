@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from ..operators.graphs import cut
 from ..operators.ordinals import fixed_order, part_offsets
 
 FORMAT = "strataprobe-placed"
@@ -88,20 +89,22 @@ class PlacedSource(DataSource):
         return PlacedWriter(self.options)
 
 
-def write_placed(rows: DataFrame, folder: str | Path, order: list, head: str = "", tail: str = "") -> dict[str, int]:
-    """rows(file, data, ..): the data of each file, in order (which must begin with the file), as one file below folder, after
-    head. Returns the number of rows of each. Existing files are replaced, all together or none."""
+def write_placed(rows: DataFrame, folder: str | Path, order: list | None, head: str = "", tail: str = "") -> dict[str, int]:
+    """rows(file, data, ..): the data of each file, in order (which must begin with the file; None: as the rows' partitions have
+    them), as one file below folder, after head. Returns the number of rows of each. Existing files are replaced, all together
+    or none."""
     spark = rows.sparkSession
-    fixed = fixed_order(rows, order)
+    fixed = cut(rows.select("file", "data")) if order is None else fixed_order(rows, order)
     size = F.octet_length("data")
     parts = part_offsets(fixed, size, ["file"]).collect()
-    counts = {r["file"]: r["n"] for r in fixed.groupBy("file").agg(F.count("*").alias("n")).collect()}
+    counts: dict[str, int] = {}
     first, last = len(head.encode("utf-8")), tail.encode("utf-8")
     offsets: dict[str, dict[str, int]] = {}
     sizes: dict[str, int] = {}
     for r in parts:
         offsets.setdefault(str(r["part"]), {})[r["file"]] = first + r["before"]
         sizes[r["file"]] = sizes.get(r["file"], 0) + r["n"]
+        counts[r["file"]] = counts.get(r["file"], 0) + r["rows"]
     if not sizes:
         return {}
     mark = f"part-{uuid.uuid4().hex[:12]}"

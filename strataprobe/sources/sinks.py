@@ -14,7 +14,6 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graphs import cut
 from .placed import csv_rows, write_placed
 
 
@@ -39,9 +38,6 @@ def csv_file(df: DataFrame, path: str | Path, order: list | None = None) -> int:
     header = io.StringIO()
     csv.writer(header).writerow(df.columns)
     rows = df.withColumn("data", csv_rows(df)).withColumn("file", F.lit(path.name))
-    if order is None:  # a sorted df keeps its partitions in order, so a number by partition and row is its order
-        rows = cut(rows).withColumn("row_id", F.monotonically_increasing_id())
-        order = ["row_id"]
     n = write_placed(rows, path.parent, order, header.getvalue()).get(path.name, 0)
     if not n:
         path.write_text(header.getvalue(), encoding="utf-8", newline="")
@@ -71,8 +67,8 @@ def markdown_rows(df: DataFrame, path: str | Path, title: str, section: tuple[st
     path = Path(path)
     cells = [F.replace(F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")) for c in df.columns]
     top = f"# {title}\n\n## {section[0]}\n\n{section[1].rstrip()}\n\n## {head}\n\n{markdown_table(df.columns, [])}"
-    rows = cut(df.withColumn("data", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |\n")))).withColumn("row_id", F.monotonically_increasing_id())
-    n = write_placed(rows.withColumn("file", F.lit(path.name)), path.parent, ["row_id"], top).get(path.name, 0)
+    rows = df.select(F.lit(path.name).alias("file"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |\n")).alias("data"))
+    n = write_placed(rows, path.parent, None, top).get(path.name, 0)
     if not n:
         path.write_text(top, encoding="utf-8")
     return n

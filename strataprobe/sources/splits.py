@@ -26,7 +26,7 @@ from ..operators.graphs import cut
 from ..operators.search import numbered_lines
 
 #: Files up to so many bytes are read as one row each.
-WHOLE_BYTES = 8 << 20
+WHOLE_BYTES = 32 << 20
 #: Byte ranges or files up to which their table is broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -472,12 +472,39 @@ def judged(found: DataFrame) -> DataFrame:
     return found.mapInPandas(run, PIECES + ", name string, head string, good boolean")
 
 
+def lined(spark: SparkSession, rows: list, probe: int = 65_536) -> set:
+    """Those of the large files that hold JSON by lines, for all their first bytes tell: a whole line is a document and another
+    begins after it. Such a file is no single document."""
+    jvm, conf, out = spark._jvm, spark._jsc.hadoopConfiguration(), set()
+    for row in rows:
+        if row[2] <= probe:
+            continue
+        path = jvm.org.apache.hadoop.fs.Path(located(row[0]))
+        stream = path.getFileSystem(conf).open(path)
+        try:
+            head = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, probe)).decode("utf-8", "replace")
+        finally:
+            stream.close()
+        first, _, rest = head.lstrip().partition("\n")
+        try:
+            json.loads(first)
+        except ValueError:
+            continue
+        if rest.strip():
+            out.add(row)
+    return out
+
+
 def split_documents(spark: SparkSession, rows: list) -> tuple[DataFrame | None, dict[str, dict]]:
     """(elements, documents) of those of the large files that are one JSON list or object each.
 
     documents: by rel, {"top": "[" or "{", "lists": keys of members that are lists, in order, or null if keys repeat}. elements:
     rel, key (null in a list file), block, k, position (from 1), value (compact JSON) of these lists, and of other members with
     position null, but of none where keys repeat. Files that are no such document are in neither."""
+    by_line = lined(spark, rows)
+    rows = [r for r in rows if r not in by_line]
+    if not rows:
+        return None, {}
     chunks = ranges(spark, rows, ",").withColumn("value", F.col("value").cast("binary"))
     known = _known(spark, rows)
     summary = cut(shapes(chunks))

@@ -98,6 +98,13 @@ def test_events_and_deep_ids_of_split_files(spark, tmp_path, tiny):
     assert sorted(map(repr, map(tuple, ingest.json_records(files.where(files.rel.isin(lists)), **deep, whole_bytes=0).collect()))) == found
 
 
+def test_heads_tell_files_of_lines(spark, tmp_path):
+    line = '{"a":"' + "x" * 90 + '"}\n'
+    put(spark, tmp_path, {"lines.json": line * 40, "list.json": "[" + line * 40, "wide.json": '{\n"a":[1,\n' + line * 40, "small.json": line, "one.json": line + " \n" * 900})
+    rows = [(str(tmp_path / n), n, (tmp_path / n).stat().st_size) for n in ("lines.json", "list.json", "wide.json", "small.json", "one.json")]
+    assert {r[1] for r in splits.lined(spark, rows, probe=1000)} == {"lines.json"}
+
+
 def test_shapes_compose():
     assert splits.reduced("][{}[") == "][[" and splits.reduced("[{]}") == "[{]}"
     text = '{"a,[":[1,{"b":"}\\"]"},[2]],"c":3}'
