@@ -136,15 +136,14 @@ def judge_urls(
     if links is not None:
         known = links.select(url_node(F.col("src")).alias("src"), url_node(F.col("dst")).alias("dst")).where("src is not null and dst is not null")
         edges = known if edges is None else edges.unionByName(known)
-    nodes = page.select("node").where("node is not null")
+    # a url's own rule goes by the url as it stands; nodes are for aliases
+    own = rule_hits(page.select(F.col("url").alias("node")).where("node is not null").distinct(), rules)
+    out = page.join(own.withColumnRenamed("node", "url"), "url", "left")
     if edges is not None:
         edges = written(edges, "links")
-        nodes = nodes.unionByName(edges.select(F.col("src").alias("node"))).unionByName(edges.select(F.col("dst").alias("node")))
-    hits = written(rule_hits(nodes.distinct(), rules), "hits")
-    own = hits.select("node", "rule", "ruled")
-    out = page.join(own, "node", "left")
     if edges is not None and edges.rows:
         comp = written(components(edges), "aliases")
+        hits = rule_hits(comp.select("node"), rules)
         spread = (
             comp.join(hits, "node")
             .groupBy("component")

@@ -19,7 +19,7 @@ def judged(spark, rows, rules=urls.RULES, links=None):
 
 
 def test_rules(spark):
-    rows = [(1, "http://A.example.NET/en/1", None), (2, "http://x.net", None), (3, "http://x.net/", ""), (4, "https://m.example.com/de/x?u=://q", "x"), (5, "http://notexample.com/de/", ""), (6, "ftp://y.org/fr/#a", ""), (7, None, ""), (8, "no scheme", ""), (9, "a://b://c.net/d", ""), (10, "http://example.net/enx", "")]
+    rows = [(1, "http://A.example.NET/en/1", None), (2, "http://x.net", None), (3, "http://x.net/", ""), (4, "https://m.example.com/de/x?u=://q", "x"), (5, "http://notexample.com/de/", ""), (6, "ftp://y.org/fr/#a", ""), (7, None, ""), (8, "no scheme", ""), (9, "a://b://c.net/d", ""), (10, "http://example.net/enx", ""), (11, "page#http://x.net/a", None), (12, "http://q.org/fr#://z.net/", "")]
     got = {k: (r["host"], r["path"], r["rule"], r["verdict"]) for k, r in judged(spark, rows).items()}
     assert got == {
         1: ("a.example.net", "/en/1", "example.net/en/", "allow"),
@@ -32,6 +32,8 @@ def test_rules(spark):
         8: ("", "", None, "allow"),
         9: ("b:", "//c.net/d", None, "allow"),
         10: ("example.net", "/enx", "net/", "block"),
+        11: ("x.net", "/a", "net/", "block"),
+        12: ("q.org", "/fr", None, "allow"),
     }
 
 
