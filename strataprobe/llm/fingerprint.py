@@ -184,12 +184,13 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (part, ahead, k, doc_id, text), partitioned by part and sorted: each part holds a range of
     ids in order, and at its end (ahead) the first row of the range after it; the last part ends with
     the first row of all. Ids are cut at quantiles that are ids themselves, so the row to look ahead
-    to is known before the one shuffle, and no range needs another's result. Null ids come first;
-    rows of one id are ordered by text hash and text.
+    to is known before the one shuffle, and no range needs another's result. Null ids come first; ids that are no
+    whole numbers are ordered by their hash; rows of one id by text hash and text.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    k = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
+    hashed = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col)))  # an id that is no number
+    k = F.coalesce(F.col(id_col).try_cast("long"), hashed, F.lit(-(2**63)))
     rows = docs.select(k.alias("k"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     least, cuts = rows.agg(F.min("k"), F.percentile_approx("k", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()
     if least is None:

@@ -388,7 +388,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     text = F.col(text_col)
-    slim_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"))
+    slim_in = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"))
 
     def describe(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)

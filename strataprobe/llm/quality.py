@@ -127,7 +127,8 @@ def fit_quality(
     """Fits on the labelled documents. docs(doc_id, text), labels(doc_id, quality).
 
     max_rows bounds the labelled rows in use: those of smallest id hash, so the same at any
-    partitioning. Null labels and ids are left out; several labels of one id: their mean, rounded.
+    partitioning. Null labels and ids are left out; several labels of one id: their mean, rounded. Ids
+    may be numbers or texts and are compared as texts. Texts are read whole, whatever their length.
     Without any labelled row every score is 0.5. A text's statistics are computed where it lies; a
     partition returns sums (normal equations per fold), the driver holds folds * features^2 numbers and
     max_rows out-of-fold scores.
@@ -142,7 +143,7 @@ def fit_quality(
     )
     # at most max_rows rows of two numbers, so that the sample may be broadcast
     rows = chosen.collect()
-    sample = spark.createDataFrame(rows, "doc_id long, y int")
+    sample = spark.createDataFrame(rows, chosen.schema).select(F.col("doc_id").cast("string").alias("known"), "y")
     width_cols = ", ".join(f"s{i} double" for i in range(STATS))
 
     def stats(batches):
@@ -151,7 +152,8 @@ def fit_quality(
             cols = [batch.column("doc_id"), batch.column("y")] + [pa.array(s[:, i]) for i in range(STATS)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "y"] + [f"s{i}" for i in range(STATS)])
 
-    table_ = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")
+    number = F.coalesce(F.col("doc_id").try_cast("long"), F.xxhash64("doc_id")).alias("doc_id")
+    table_ = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id").cast("string") == F.col("known")).select(number, "y", "text")
     stat_rows = written(table_.mapInArrow(stats, f"doc_id long, y int, {width_cols}"), "stats")
     cols = [f"s{i}" for i in range(STATS)]
     base = stat_rows.agg(F.count("*"), *[F.avg(c) for c in cols], *[F.stddev_pop(c) for c in cols]).first()

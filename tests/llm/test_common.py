@@ -76,3 +76,16 @@ def test_a_cluster_needs_its_shared_folder():
 def test_ascii_lower(spark):
     df = spark.createDataFrame([("ABC É İ",), ("AbC",)], "t string")
     assert [r[0] for r in df.select(ascii_lower(df["t"])).collect()] == ["abc É İ", "abc"]
+
+
+def test_ids_that_are_texts(spark):
+    from strataprobe.llm import fingerprint, jaccard, quality
+
+    text = "the same ten words stand in both of these rows here"
+    df = spark.createDataFrame([("a", text), ("b", text), ("7", "other words"), (None, "")], "doc_id string, text string")
+    got = {(r["doc_id"], r["n_shingles"], r["n_members"]) for r in jaccard.jaccard_components(df).collect()}
+    assert got == {(None, 8, 2), (7, 1, 1), (None, 0, 1)}
+    prints = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(df).collect()}
+    assert set(prints) == {"a", "b", "7", None} and prints["a"] == prints["b"]
+    labels = spark.createDataFrame([("a", 1), ("7", 0)], "doc_id string, quality int")
+    assert quality.fit_quality(df, labels).coef.any()
