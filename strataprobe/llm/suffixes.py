@@ -29,6 +29,10 @@ ANCHORS_A_TASK = 1_000_000
 HOT_REGIONS = 2000
 #: Regions of one such place from which their windows are told apart one by one: no task sorts more.
 HOT_PLACE = 2000
+#: Texts of one anchor from which its records are dealt by region too, and of how many texts one is counted for this.
+HOT_ANCHOR, SAMPLE = 100_000, 64
+#: Mark of a record whose region is known to be repeated.
+DONE = 255
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -191,6 +195,40 @@ def _windows_met(regions: DataFrame, length: int) -> DataFrame:
     return met.groupBy("gram", "region").agg(F.min("a").cast("long").alias("a"), F.max("a").cast("long").alias("z"))
 
 
+def combined(rec: np.ndarray) -> np.ndarray:
+    """Records of one batch: where a region lies in several places, these are DONE, and one record of the region says
+    that it is repeated. So a region that every text holds sends one record a batch to where its like meet."""
+    rec["times"] = 1
+    rec = rec[np.lexsort((rec["lo"], rec["th"], rec["region"], rec["gram"]))]
+    same = (rec["gram"][1:] == rec["gram"][:-1]) & (rec["region"][1:] == rec["region"][:-1])
+    rec = rec[np.r_[True, ~(same & (rec["th"][1:] == rec["th"][:-1]) & (rec["lo"][1:] == rec["lo"][:-1]))]]
+    same = (rec["gram"][1:] == rec["gram"][:-1]) & (rec["region"][1:] == rec["region"][:-1])
+    first = np.flatnonzero(np.r_[True, ~same])
+    size = np.diff(np.r_[first, len(rec)])
+    told = rec[first[size > 1]].copy()
+    told["times"] = 2
+    rec["times"][np.repeat(size > 1, size)] = DONE
+    return np.concatenate([rec, told])
+
+
+def _frequent_anchors(read: DataFrame, length: int, gram: int) -> np.ndarray:
+    """Anchors (hashes, sorted) that about HOT_ANCHOR texts or more hold: those of one text in SAMPLE, by hash, are counted. Their number
+    is bounded by the anchors of the corpus over HOT_ANCHOR."""
+
+    def count(batches):
+        for batch in batches:
+            raw, off = texts_of(batch.column("text"))
+            found = [np.unique(anchors_of(raw[a:z], length, gram)["gram"]) for a, z in zip(off[:-1], off[1:]) if z - a >= length]
+            if found:
+                grams, times = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(times.astype(np.int64))], ["gram", "n"])
+
+    some = read.where(F.pmod(F.xxhash64("doc_id", "th"), F.lit(SAMPLE)) == 0).select("text")
+    counts = some.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    hot = counts.where(F.col("n") * SAMPLE >= HOT_ANCHOR).select("gram").toPandas()["gram"].to_numpy(np.int64)
+    return np.sort(hot.view(np.uint64))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 200) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes; null if nothing was removed or all)
     for every row of docs.
@@ -209,7 +247,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = slim.groupBy("th", "n").agg(F.count("*").alias("copies"))
     total = slim.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 2 // (length - gram) // ANCHORS_A_TASK) + 1)
-    rec_type = np.dtype([("gram", "<u8"), ("region", "<u8"), ("th", "<i8"), ("lo", "<u4"), ("at", "<u2"), ("span", "<u2")])
+    rec_type = np.dtype([("gram", "<u8"), ("region", "<u8"), ("th", "<i8"), ("lo", "<u4"), ("at", "<u2"), ("span", "<u2"), ("times", "u1")])
+    # An anchor of very many texts is dealt by anchor and region. Which these are a sample of texts tells; it decides where
+    # records meet, not what comes of them.
+    frequent = spark.sparkContext.broadcast(_frequent_anchors(read, length, gram))
 
     def anchored(batch, seen):
         raw, off = texts_of(batch.column("text"))
@@ -230,8 +271,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 got.append(r)
             if not got:
                 continue
-            rec = np.concatenate(got)
-            part = (mix64(rec["gram"] + SEED) % U(tasks)).astype(np.int32)
+            rec = combined(np.concatenate(got))
+            key = np.where(np.isin(rec["gram"], frequent.value), mix64(rec["gram"] ^ mix64(rec["region"])), rec["gram"])
+            key = np.where(rec["times"] == DONE, rec["th"].view(U), key)
+            part = (mix64(key + SEED) % U(tasks)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             part, rec = part[order], rec[order]
             cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
@@ -248,15 +291,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return
         rec = np.concatenate(kept)
         kept.clear()
-        rec = rec[np.lexsort((rec["lo"], rec["th"], rec["region"], rec["gram"]))]
+        done = rec[rec["times"] == DONE]
+        if len(done):
+            done = done[np.lexsort((done["lo"], done["th"]))]
+            th, lo, end = merge_spans(done["th"], done["lo"].astype(np.int64), done["lo"].astype(np.int64) + done["span"] + length)
+            zero = np.zeros(len(th), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (zero.astype(np.int32), zero, zero, th, lo, end)], columns)
+            rec = rec[rec["times"] != DONE]
+        if not len(rec):
+            return
+        rec = rec[np.lexsort((~rec["times"], rec["lo"], rec["th"], rec["region"], rec["gram"]))]
         g, r = rec["gram"], rec["region"]
         new_region = np.r_[True, (g[1:] != g[:-1]) | (r[1:] != r[:-1])]
         place = np.r_[True, new_region[1:] | (rec["th"][1:] != rec["th"][:-1]) | (rec["lo"][1:] != rec["lo"][:-1])]
         rec, new_region = rec[place], new_region[place]
         g = rec["gram"]
         first = np.flatnonzero(new_region)
-        times = np.diff(np.r_[first, len(rec)])
-        full = rec[np.repeat(times > 1, times)]
+        times = np.add.reduceat(rec["times"].astype(np.int64), first)
+        rows = np.diff(np.r_[first, len(rec)])
+        full = rec[np.repeat(times > 1, rows)]
         th, lo, end = merge_spans(full["th"], full["lo"].astype(np.int64), full["lo"].astype(np.int64) + full["span"] + length)
         if len(th):
             zero = np.zeros(len(th), np.int64)
@@ -265,7 +318,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         new_gram = np.r_[True, one["gram"][1:] != one["gram"][:-1]]
         begin = np.flatnonzero(new_gram)
         size = np.diff(np.r_[begin, len(one)])
-        mixed = np.repeat(size > 1, size)
+        mixed = np.repeat(size > 1, size) | np.isin(one["gram"], frequent.value)
         one, times = one[mixed], times[mixed]
         if len(one):  # edge 1: the region's place takes what the sort finds; 2: the region is only compared with
             cols = (np.where(times > 1, 2, 1).astype(np.int32), one["gram"].view(np.int64), one["region"].view(np.int64), one["th"], one["lo"].astype(np.int64), one["lo"].astype(np.int64))

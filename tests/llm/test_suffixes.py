@@ -115,3 +115,27 @@ def test_anchors_depend_on_content_alone(monkeypatch):
 def test_spans_are_united():
     th, lo, end = sx.merge_spans(np.array([2, 1, 1, 1]), np.array([5, 0, 3, 20]), np.array([9, 4, 8, 22]))
     assert list(zip(th, lo, end)) == [(1, 0, 8), (1, 20, 22), (2, 5, 9)]
+
+
+def test_an_anchor_of_very_many_texts(spark, monkeypatch):
+    """A passage in every text, alike around it in some and not in others: dealt by region, nothing else changes."""
+    rng = random.Random(9)
+    passage, frame_ = "".join(rng.choice("abcdefghij ") for _ in range(300)), "".join(rng.choice("klmnop ") for _ in range(150))
+    texts = [(frame_ if i % 3 else f"{i:04d}" * 40) + passage + (frame_ if i % 2 else f"{i * 7:05d}" * 30) for i in range(400)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    monkeypatch.setattr(sx, "HOT_ANCHOR", 20)
+    monkeypatch.setattr(sx, "SAMPLE", 1)
+    read = frame(spark, rows).selectExpr("doc_id", "xxhash64(text) AS th", "text")
+    assert len(sx._frequent_anchors(read, 400, 200))
+    check(spark, rows, 400, 200)
+
+
+def test_records_of_a_batch_are_combined():
+    kind = np.dtype([("gram", "<u8"), ("region", "<u8"), ("th", "<i8"), ("lo", "<u4"), ("at", "<u2"), ("span", "<u2"), ("times", "u1")])
+    rec = np.zeros(200_002, kind)
+    rec["gram"], rec["region"], rec["th"] = 7, 9, np.arange(200_002)
+    rec["region"][-2:] = [10, 10]
+    rec["th"][-2:] = 5  # one place, told twice
+    out = sx.combined(rec)
+    sent = out[out["times"] != sx.DONE]
+    assert len(out) == 200_002 and sorted(zip(sent["region"].tolist(), sent["times"].tolist())) == [(9, 2), (10, 1)]
