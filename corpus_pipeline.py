@@ -32,9 +32,9 @@ def _model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> QualityModel:
     return fit_quality(docs, training_labels(table(spark, sf_dir, "labels")).select("doc_id", "quality"))
 
 
-def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that the quality classifier scores 0.3 or more."""
-    return docs.where(score_udf(_model(spark, docs, sf_dir))(F.col("text")) >= QUALITY_THRESHOLD)
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str, model: QualityModel | None = None) -> DataFrame:
+    """Keeps documents that the quality classifier, by default fitted on them, scores 0.3 or more."""
+    return docs.where(score_udf(model or _model(spark, docs, sf_dir))(F.col("text")) >= QUALITY_THRESHOLD)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,22 +63,20 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.alias("d").join(bad.alias("b"), _text_key() == F.col("b.text_key"), "left_anti")
 
 
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out whole documents, so that sources meet their word targets; the classifier's score is their
-    weight. Documents without words add none and go. Rows of one id, source and size share the copies of the
-    best placed of them."""
-    score = score_udf(_model(spark, docs, sf_dir))(F.col("text"))
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str, model: QualityModel | None = None) -> DataFrame:
+    """Repeats or leaves out whole documents, so that sources meet their word targets; the score of the first stage's
+    classifier (fitted on all documents, not on what is left of them) is their weight. Documents without words add none and
+    go. Rows of one id, source and size share the copies of the best placed of them."""
+    score = score_udf(model or _model(spark, table(spark, sf_dir, "documents"), sf_dir))(F.col("text"))
     taken = mix(docs, whole=True, quality=F.lit(0.1) + F.lit(0.9) * score).where("taken > 0")
     copies = F.max((F.col("taken") / F.col("size")).cast("int")).alias("copies")
     plan = taken.groupBy("doc_id", "source", "size").agg(copies)
     size = F.regexp_count(F.coalesce(F.col("d.text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     on = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.source")) & (size == F.col("p.size"))
-    return (
-        docs.alias("d")
-        .join(plan.alias("p"), on)
-        .select(*_columns(docs), F.explode(F.sequence(F.lit(1), F.col("p.copies"))).alias("strataprobe_copy"))
-        .drop("strataprobe_copy")
-    )
+    copy = "copy"
+    while copy in docs.columns:
+        copy += "_"
+    return docs.alias("d").join(plan.alias("p"), on).select(*_columns(docs), F.explode(F.sequence(F.lit(1), F.col("p.copies"))).alias(copy)).drop(copy)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str, output: str | None = None) -> DataFrame:
@@ -102,6 +100,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str, output: str | None = None) -> DataFrame:
     """All stages over the documents; output: the root of the shard store."""
     docs = table(spark, sf_dir, "documents")
+    model = _model(spark, docs, sf_dir)
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage")
+        known = {"model": model} if stage in (quality_filter, mixture) else {}
+        docs = written(stage(spark, docs, sf_dir, **known), "stage")
     return shards(spark, docs, sf_dir, output)
