@@ -74,7 +74,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str, model: QualityMod
     size = F.regexp_count(F.coalesce(F.col("d.text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     on = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.source")) & (size == F.col("p.size"))
     copy = "copy"
-    while copy in docs.columns:
+    while copy in {c.lower() for c in docs.columns}:
         copy += "_"
     return docs.alias("d").join(plan.alias("p"), on).select(*_columns(docs), F.explode(F.sequence(F.lit(1), F.col("p.copies"))).alias(copy)).drop(copy)
 
