@@ -120,12 +120,13 @@ def payload_details(record: Column) -> Column:
 
 def event_time(record: Column, kinds: list[str], payload_level: bool = False) -> Column:
     """Time of an event: its own keys, else the payload objects' modify and create times, else (payload_level)
-    the payload's own."""
-    spots = [get(record, k) for k in ("Timestamp", "Time", "EventTime")]
-    spots += [get(record, f"Payload.{kind}.{k}") for kind in kinds for k in ("ModifyTime", "CreateTime")]
+    the payload's own. The record is parsed once, and stamps are read of the keys that are there."""
+    paths = ["Timestamp", "Time", "EventTime", *[f"Payload.{kind}.{k}" for kind in kinds for k in ("ModifyTime", "CreateTime")]]
     if payload_level:
-        spots += [get(record, f"Payload.{k}") for k in ("Timestamp", "Time")]
-    return F.coalesce(*[stamp_or_epoch(s) for s in spots])
+        paths += ["Payload.Timestamp", "Payload.Time"]
+    parsed = F.try_parse_json(record)
+    there = F.array_compact(F.array(*[F.try_variant_get(parsed, "$." + p, "string") for p in paths]))
+    return F.try_element_at(F.array_compact(F.transform(there, stamp_or_epoch)), F.lit(1))
 
 
 SEED_TYPES = {"job_ids": "job_id", "allocation_ids": "allocation_id", "evaluation_ids": "evaluation_id", "node_ids": "node_id", "deployment_ids": "deployment_id"}

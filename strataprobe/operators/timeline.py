@@ -13,6 +13,11 @@ from .ordinals import running_sum, with_ordinal
 COLUMNS = ["ts", "source_type", "source_file", "source_line", "object_type", "object_id", "event", "details", "relevance", "source_group"]
 
 
+def time_order() -> list:
+    """By time, rows without one last, then source and line."""
+    return [F.col("ts").asc_nulls_last(), "source_type", "source_file", F.coalesce("source_line", F.lit(-1))]
+
+
 def holds_any(text, needles: list[str]):
     """True if any needle occurs, or none is given."""
     found = F.lit(not needles)
@@ -34,7 +39,7 @@ def merged(*parts: DataFrame) -> DataFrame:
 
 def ordered(events: DataFrame) -> DataFrame:
     """By time, rows without one last, then source and line."""
-    return events.orderBy(F.col("ts").asc_nulls_last(), "source_type", "source_file", F.coalesce("source_line", F.lit(-1)))
+    return events.orderBy(*time_order())
 
 
 def matching_log_lines(lines: DataFrame, needles: list[str], start=None, end=None) -> DataFrame:
@@ -94,7 +99,7 @@ def collapsed_view(events: DataFrame) -> DataFrame:
     """Consecutive unchanged snapshot rows as one row that names the span; other rows as they are, all in order, with their
     number as ordinal. Neighbours are met by their numbers, so no task orders the whole."""
     sig = F.concat_ws("\u0001", "object_type", "object_id", F.regexp_replace("details", r"interval \d{4}", "interval NNNN"))
-    order = [F.col("ts").asc_nulls_last(), "source_type", "source_file", F.coalesce("source_line", F.lit(-1)), "object_type", "object_id", "event", "details"]
+    order = [*time_order(), "object_type", "object_id", "event", "details"]
     rows = with_ordinal(events, order).withColumn("sig", F.when(F.col("source_type") == "interval_snapshot", sig))
     before = rows.select((F.col("ordinal") + 1).alias("ordinal"), F.col("sig").alias("sig_before"))
     step = F.when(F.coalesce(F.col("sig") == F.col("sig_before"), F.lit(False)), 0).otherwise(1)

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from strataprobe.plans import captured, expressions, registry  # noqa: F401
+from strataprobe.plans import captured, expressions, files, registry  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents labels pages benchmark conversations".split()
