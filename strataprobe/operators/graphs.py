@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -159,6 +160,27 @@ def root_paths(successors: dict[str, list[str]], most: int = 50) -> list[list[st
     return out
 
 
+def walked_parts(edges: DataFrame, most: int = 200_000) -> DataFrame:
+    """edges(part, src, dst) -> part, kind (cycle or path), no, nodes: cycles() and root_paths() of each part of a graph, such as a
+    component or what lies near a seed, each walked in one task. A part of over `most` edges is refused."""
+    kind = edges.schema["part"].dataType.simpleString()
+
+    def walk(frame):
+        if len(frame) > most:
+            raise SubgraphTooLarge(f"more than {most} edges")
+        successors: dict[str, list[str]] = {}
+        for a, b in sorted(set(zip(frame["src"], frame["dst"]))):
+            successors.setdefault(a, []).append(b)
+            successors.setdefault(b, [])
+        successors = dict(sorted(successors.items()))
+        found = [("cycle", i, x) for i, x in enumerate(cycles(successors))] + [("path", i, x) for i, x in enumerate(root_paths(successors))]
+        out = pd.DataFrame(found, columns=["kind", "no", "nodes"])
+        out.insert(0, "part", frame["part"].iloc[0])
+        return out
+
+    return edges.select("part", "src", "dst").groupBy("part").applyInPandas(walk, f"part {kind}, kind string, no long, nodes array<string>")
+
+
 def frame_of_paths(spark: SparkSession, paths: list[list[str]]) -> DataFrame:
     return spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "path_no int, nodes array<string>")
 

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, timestamps
-from ..operators import ordinals, search, timeline
+from ..operators import graphs, inventory, ordinals, search, timeline
 from ..sources import bundles, ingest, placed, splits
 from ..sources.tables import events, table
-from .captured import scratch
-from .registry import query
+from . import tools
+from .captured import INTERVALS, WANTED, WITH_LINES, bundle_of, scratch
+from .registry import CHAINS, SQL, query, turn_edges
 
 #: Bytes beyond which these queries' files are read by ranges, so that those of the test tables are.
 SOME = 4096
@@ -169,8 +170,6 @@ def timeline_order(spark, sf_dir):
 )
 def bounded_scan(spark, sf_dir):
     """Files scanned up to a number of bytes, and of lines, over blocks."""
-    from ..operators import inventory
-
     e = events(spark, sf_dir)
     number = F.row_number().over(inventory.Window.partitionBy("path").orderBy("event_id"))
     lines = e.select(F.col("user_id").cast("string").alias("path"), "event_id", F.col("event_type").alias("line")).withColumn("line_no", number).withColumn("block", F.floor(F.col("line_no") / 16))
@@ -184,3 +183,65 @@ def window_bounds(spark, sf_dir):
     start, end = timestamps.user_datetime("2024-01-10T02:00:00+02:00"), timestamps.user_datetime("2024-01-11T12:00", "UTC")
     e = events(spark, sf_dir).where(timestamps.in_window(F.col("ts"), start, end))
     return e.groupBy("user_id").agg(timestamps.iso_utc(F.date_trunc("second", F.min("ts"))).alias("first"), F.count("*").alias("n"))
+
+
+@query("part_paths", f"SELECT conv_id::VARCHAR AS conv, path FROM (SELECT conv_id, string_agg(node, '>' ORDER BY turn) AS path, count(*) AS n FROM ({CHAINS}) GROUP BY conv_id, chain) WHERE n > 1")
+def part_paths(spark, sf_dir):
+    """G5 as the tools walk it, of every conversation."""
+    edges = turn_edges(spark, sf_dir).select(F.split("src", "-")[0].alias("part"), "src", "dst")
+    return graphs.walked_parts(edges).where("kind = 'path'").select(F.col("part").alias("conv"), F.array_join("nodes", ">").alias("path"))
+
+
+@query("part_cycles", SQL["graph_cycles"])
+def part_cycles(spark, sf_dir):
+    """G4 as the tools walk it: back edges of a depth-first walk, of every conversation closed to a ring."""
+    part = turn_edges(spark, sf_dir).select("src", "dst")
+    turn = lambda c: F.split(c, "-")[1].cast("long")
+    ends = part.groupBy(F.split("src", "-")[0]).agg(F.max_by("dst", turn("dst")).alias("src"), F.min_by("src", turn("src")).alias("dst"))
+    closed = part.union(ends.select("src", "dst")).select(F.split("src", "-")[0].alias("part"), "src", "dst")
+    return graphs.walked_parts(closed).where("kind = 'cycle'").select(F.array_join("nodes", ">").alias("path"))
+
+
+@query(
+    "profile_gaps",
+    """WITH p AS (SELECT DISTINCT CASE WHEN user_id % 2 = 0 THEN 'server' ELSE 'client' END AS side, 'e' || user_id % 3 AS entity, (event_id * 4) % (36 + user_id % 3) AS i FROM events),
+g AS (SELECT side, entity, list(i ORDER BY i) AS l, count(*) AS n, min(i) AS a, max(i) AS z FROM p GROUP BY 1, 2), m AS (SELECT *, [lpad(x::VARCHAR, 4, '0') FOR x IN range(a, z) IF NOT list_contains(l, x)] AS lacks FROM g)
+SELECT side, entity, n || ' capture indexes (' || lpad(a::VARCHAR, 4, '0') || '–' || lpad(z::VARCHAR, 4, '0') || ')' || CASE WHEN len(lacks) = 0 THEN '; no numeric gaps' ELSE '; missing: ' || array_to_string(lacks, ', ') END AS summary FROM m""",
+)
+def profile_gaps(spark, sf_dir):
+    """Profile captures of each server and client, with their gaps."""
+    side = F.when(F.col("user_id") % 2 == 0, "server").otherwise("client")
+    index = F.lpad(((F.col("event_id") * 4) % (F.lit(36) + F.col("user_id") % 3)).cast("string"), 4, "0")
+    paths = events(spark, sf_dir).select(F.concat(side, F.lit("/e"), (F.col("user_id") % 3).cast("string"), F.lit("/heap_"), index, F.lit(".prof")).alias("path"))
+    return inventory.profile_captures(paths).select("side", "entity", "summary")
+
+
+@query(
+    "tool_find_report",
+    f"""{WITH_LINES}, m AS (SELECT i AS identifier, path, line_no, (length(line) - length(replace(line, i, ''))) // length(i) AS n FROM l, (SELECT unnest({WANTED!r}) AS i) WHERE contains(line, i)),
+f AS (SELECT identifier, path, sum(n) AS n, count(*) AS k FROM m GROUP BY 1, 2)
+SELECT i AS identifier, coalesce(sum(n), 0)::BIGINT AS occurrences, count(path) AS matching_files, (count(path) + coalesce(sum(CASE WHEN k > 3 THEN 3 ELSE k END), 0))::BIGINT AS markdown_rows FROM (SELECT unnest({WANTED!r}) AS i) LEFT JOIN f ON identifier = i GROUP BY i""",
+)
+def tool_find_report(spark, sf_dir):
+    """The search's JSON summary, and the rows of its Markdown tables (a row a file, and three samples)."""
+    out = tools.find_identifiers(spark, bundle_of(spark, sf_dir), WANTED, str(scratch(spark) / "out"))
+    told = spark.read.text(f"file://{out}/summary.json", wholetext=True).select(F.explode(F.from_json(F.get_json_object("value", "$.results"), "map<string,struct<occurrences: long, matching_files: long>>")).alias("identifier", "v"))
+    shown = spark.read.text(f"file://{out}/results.md").select(F.regexp_extract("value", r"^[|] (\S+) [|]", 1).alias("identifier")).where("identifier <> ''").groupBy("identifier").agg(F.count("*").alias("markdown_rows"))
+    return told.join(shown, "identifier", "left").select("identifier", "v.occurrences", "v.matching_files", F.coalesce("markdown_rows", F.lit(0)).alias("markdown_rows"))
+
+
+@query(
+    "tool_inventory_report",
+    f"""{WITH_LINES} SELECT count(DISTINCT path) AS files, '{",".join(f"{i:04d}" for i in INTERVALS)}' AS intervals, '0003' AS missing, count(DISTINCT path) FILTER (WHERE path LIKE 'interval/%') AS snapshots, 's1' AS servers, 'c1' AS clients, 'true' AS streams, '0' AS index_entries FROM l""",
+)
+def tool_inventory_report(spark, sf_dir):
+    """The inventory's JSON summary of the bundle, and the rows of its Markdown table of files."""
+    out = tools.inventory_bundle(spark, bundle_of(spark, sf_dir), str(scratch(spark) / "out"))
+    get = lambda path: F.get_json_object("value", "$." + path)
+    names = lambda path: F.array_join(F.from_json(get(path), "array<string>"), ",")
+    present = F.aggregate(F.map_values(F.from_json(get("interval_artifact_presence"), "map<string,long>")), F.lit(0).cast("long"), lambda a, x: a + x)
+    told = spark.read.text(f"file://{out}/bundle_summary.json", wholetext=True).select(
+        names("interval_ids").alias("intervals"), names("missing_interval_ids").alias("missing"), present.alias("snapshots"), names("servers").alias("servers"), names("clients").alias("clients"), get("eventstream_present").alias("streams"), get("index_json_entries").alias("index_entries")
+    )
+    sizes = spark.read.text(f"file://{out}/inventory.md").where(F.col("value").rlike(r"^[|] \S+ [|] \S+ \S+ [|] text [|].*full_scan [|]$"))
+    return told.withColumn("files", F.lit(sizes.count()))
