@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import SparkSession
 
 from .functions.timestamps import user_datetime
 from .plans import tools
-from .sources.sinks import RunExists
+from .sources.sinks import RunExists, first_of
 
 
 def parser() -> argparse.ArgumentParser:
@@ -96,7 +97,11 @@ def main(argv: list[str] | None = None) -> int:
             if bound in args:
                 args[bound] = user_datetime(args[bound], zone)
         spark = SparkSession.builder.appName(f"strataprobe {name}").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-        print(RUN[name](spark, root, **args))
+        run = RUN[name](spark, root, **args)
+        print(run)
+        if name == "trace":
+            found = json.loads((run / "relationships.json").read_text("utf-8"))
+            print(first_of([f"{r['relation']} {r['src'][:8]} -> {r['dst'][:8]}" for r in found], 10, "relationships"))
     except tools.SeedError as e:
         print(e, file=sys.stderr)
         return 3

@@ -50,10 +50,6 @@ def stream_files(files: DataFrame) -> DataFrame:
     return files.where(F.col("rel").rlike("(^|/)" + re.escape(STREAM) + "$"))
 
 
-def frame_text(df: DataFrame) -> str:
-    return sinks.markdown_frame(df)
-
-
 # 1 -----------------------------------------------------------------------------------------------
 def inventory_bundle(spark: SparkSession, root: str, output: str, max_scan_mb: int = 50, max_lines: int = 250_000, top_largest: int = 25) -> Path:
     """Catalogue of files with kind, roles, hash and time span, and the bundle's coverage and gaps."""
@@ -88,10 +84,10 @@ def inventory_bundle(spark: SparkSession, root: str, output: str, max_scan_mb: i
     totals = table.agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"), F.count_if(F.col("kind") == "text").alias("text files"), F.count_if(F.col("first_timestamp") != "").alias("with timestamps"))
     sinks.markdown_file(
         out / "inventory.md", "Captured files",
-        ("Totals", frame_text(totals)), ("Kinds", frame_text(table.groupBy("kind").count().orderBy("kind"))), ("Roles", frame_text(inventory.role_counts(table).orderBy(F.col("files").desc(), "role"))),
-        ("Largest files", frame_text(inventory.largest(table.withColumn("path", F.col("relative_path")), top_largest).select("relative_path", "size_human"))),
+        ("Totals", totals), ("Kinds", table.groupBy("kind").count().orderBy("kind")), ("Roles", inventory.role_counts(table).orderBy(F.col("files").desc(), "role")),
+        ("Largest files", inventory.largest(table.withColumn("path", F.col("relative_path")), top_largest).select("relative_path", "size_human")),
         ("Coverage", sinks.markdown_table(["what", "value"], cover.items())), ("Profile captures", sinks.markdown_table(["side", "entity", "captures"], ((c["side"], c["entity"], c["summary"]) for c in captures)) if captures else "none detected"),
-        ("All files", frame_text(table.select("relative_path", "size_human", "kind", "likely_role", "first_timestamp", "last_timestamp", "scan_status"))),
+        ("All files", table.select("relative_path", "size_human", "kind", "likely_role", "first_timestamp", "last_timestamp", "scan_status")),
     )
     table.unpersist()
     return out
@@ -123,8 +119,9 @@ def find_identifiers(spark: SparkSession, root: str, ids: list[str], output: str
     sinks.json_file({"identifiers": wanted, "searchable_files_scanned": files.count(), "read_errors": len(errors), "unreadable": errors, "results": results}, out / "summary.json")
     samples = search.match_samples(matches, samples_per_file, sample_width, ignore_case).orderBy("identifier", "path", "line_no")
     telling = F.col("category") != "metrics"
+    unread = [("Read errors", f"{len(errors)} files could not be searched.\n\n" + sinks.first_of([f"`{sinks.cell(e['rel'])}`: {e['error']}" for e in errors], 100, "errors"))] if errors else []
     sinks.markdown_file(
-        out / "results.md", "Identifier search", ("Matches", frame_text(ranked.where(telling))), ("Matches in metrics", frame_text(ranked.where(~telling))), ("Samples", frame_text(samples.select("identifier", "path", "line_no", "excerpt")))
+        out / "results.md", "Identifier search", ("Matches", ranked.where(telling)), ("Matches in metrics", ranked.where(~telling)), ("Samples", samples.select("identifier", "path", "line_no", "excerpt")), *unread
     )
     matches.unpersist()
     return out
@@ -175,7 +172,7 @@ def extract_window(spark: SparkSession, root: str, output: str, start: datetime,
     counts = {r["action"]: r["count"] for r in rows.groupBy("action").count().collect()}
     summary = {"window_utc": [start.isoformat(), end.isoformat()], "selected_intervals": [t["interval_id"] for t in chosen], "unparsed_intervals": unread, "actions": counts}
     sinks.json_file(summary, run / "summary.json")
-    sinks.markdown_file(run / "summary.md", "Extracted window", ("Window", f"{start.isoformat()} to {end.isoformat()}"), ("Intervals", sinks.markdown_table(["interval", "time", "source"], ((t["interval_id"], t["ts"], t["time_source"]) for t in chosen))), ("Manifest", frame_text(rows)))
+    sinks.markdown_file(run / "summary.md", "Extracted window", ("Window", f"{start.isoformat()} to {end.isoformat()}"), ("Intervals", sinks.markdown_table(["interval", "time", "source"], ((t["interval_id"], t["ts"], t["time_source"]) for t in chosen))), ("Manifest", rows))
     for df in (files, picked, inside, rows):
         df.unpersist()
     return run
@@ -278,7 +275,7 @@ def alloc_history(spark: SparkSession, root: str, alloc: str, output: str, sampl
     sinks.json_file(summary, run / "summary.json")
     sinks.json_file(sinks.rows_of(flat.orderBy(*order)), run / "snapshots.json")
     sinks.json_file([r["record_json"] for r in sinks.rows_of(stream.orderBy("line_no"))], run / "eventstream.json")
-    sinks.markdown_file(run / "timeline.md", f"History of allocation {alloc}", ("Summary", sinks.markdown_table(["field", "value"], summary.items())), ("Timeline", frame_text(shown)))
+    sinks.markdown_file(run / "timeline.md", f"History of allocation {alloc}", ("Summary", sinks.markdown_table(["field", "value"], summary.items())), ("Timeline", shown))
     for df in (files, snaps, flat, stream, hits, events):
         df.unpersist()
     return run
@@ -350,8 +347,7 @@ def correlate_timeline(
         "monitor_matches": kept.count(), "suppressed_debug_lines": 0 if include_debug_traffic else hits.where("noise").count(), **stats_of(snaps),
     }
     sinks.json_file(summary, run / "summary.json")
-    summary_text = sinks.markdown_table(["what", "value"], summary.items())
-    sinks.markdown_rows(show(timeline.collapsed_view(events)), run / "timeline.md", "Correlated timeline", ("Summary", summary_text), "Timeline, unchanged snapshots as one row")
+    sinks.markdown_file(run / "timeline.md", "Correlated timeline", ("Summary", sinks.markdown_table(["what", "value"], summary.items())), ("Timeline, unchanged snapshots as one row", show(timeline.collapsed_view(events))))
     for df in (files, snaps, hits, events):
         df.unpersist()
     return run
@@ -421,7 +417,7 @@ def alloc_lineage(spark: SparkSession, root: str, alloc: str, output: str, max_d
     known = entities.where(F.col("id") == alloc).count() > 0
     summary = {"seed": alloc, "seed_captured": known, "max_depth": max_depth, "allocations": rows.count(), "relationships": part.count(), "missing": lacking, **{k: len(v) for k, v in facts.items()}, **stats_of(snaps)}
     sinks.json_file(summary, run / "summary.json")
-    sinks.markdown_file(run / "lineage.md", f"Lineage of allocation {alloc}", ("Summary", sinks.markdown_table(["what", "value"], summary.items())), ("Paths", "\n".join("- " + " -> ".join(p) for p in facts["paths"])), ("Relationships", frame_text(part.orderBy("src", "dst", "relation"))), ("Allocations", frame_text(shown)))
+    sinks.markdown_file(run / "lineage.md", f"Lineage of allocation {alloc}", ("Summary", sinks.markdown_table(["what", "value"], summary.items())), ("Paths", "\n".join("- " + " -> ".join(p) for p in facts["paths"])), ("Relationships", part.orderBy("src", "dst", "relation")), ("Allocations", shown))
     for df in (files, snaps, entities, rows):
         df.unpersist()
     return run
@@ -457,7 +453,7 @@ def eval_trace(spark: SparkSession, root: str, output: str, evaluation: str | No
     sinks.json_file(sinks.rows_of(part.orderBy("src", "dst", "relation")), run / "relationships.json")
     summary = {"seed": seed, "seed_captured": evals.where(F.col("id") == seed).count() > 0, "max_depth": max_depth, "evaluations": rows.count(), "relationships": part.count(), "related_allocations": related.count(), "missing": sorted(r["node"] for r in missing.collect()), **{k: len(v) for k, v in facts.items()}, **stats_of(snaps)}
     sinks.json_file(summary, run / "summary.json")
-    sinks.markdown_file(run / "eval_trace.md", f"Trace of evaluation {seed}", ("Summary", sinks.markdown_table(["what", "value"], summary.items())), ("Paths", "\n".join("- " + " -> ".join(p) for p in facts["paths"])), ("Relationships", frame_text(part.orderBy("src", "dst", "relation"))), ("Evaluations", frame_text(shown)))
+    sinks.markdown_file(run / "eval_trace.md", f"Trace of evaluation {seed}", ("Summary", sinks.markdown_table(["what", "value"], summary.items())), ("Paths", "\n".join("- " + " -> ".join(p) for p in facts["paths"])), ("Relationships", part.orderBy("src", "dst", "relation")), ("Evaluations", shown))
     for df in (files, snaps, evals, allocs, related, rows):
         df.unpersist()
     return run
@@ -502,7 +498,7 @@ def case_review(spark: SparkSession, root: str, case_context: str, output: str,
     counts = {r["observation_state"]: r["seeds"] for r in review.seed_counts(rows).collect()}
     summary = {"case_reference": context.get("case_reference", ""), "classification": context["classification"], "seed_count": seeds.count(), "observed_seed_count": counts.get("observed", 0), "not_observed_seed_count": counts.get(review.NOT_OBSERVED, 0), "claim_count": len(claims), "claim_confirmation_count": 0, "parsing": parsing}
     sinks.json_file(summary, run / "summary.json")
-    sinks.markdown_file(run / "report.md", "Case review", ("Scope", "What the case reports is a lead, not evidence; not observed does not mean absent."), ("Identifiers", frame_text(rows)), ("Claims", sinks.markdown_table(["id", "claim", "source", "assessment", "evidence needed"], ((c["id"], c["claim"], c["source"], c["assessment"], "; ".join(map(str, c["evidence_needed"]))) for c in claims))), ("Parsing", sinks.markdown_table(["what", "value"], parsing.items())))
+    sinks.markdown_file(run / "report.md", "Case review", ("Scope", "What the case reports is a lead, not evidence; not observed does not mean absent."), ("Identifiers", rows), ("Claims", sinks.markdown_table(["id", "claim", "source", "assessment", "evidence needed"], ((c["id"], c["claim"], c["source"], c["assessment"], "; ".join(map(str, c["evidence_needed"]))) for c in claims))), ("Parsing", sinks.markdown_table(["what", "value"], parsing.items())))
     for df in (files, snaps, stream, rows):
         df.unpersist()
     return run
@@ -521,8 +517,8 @@ def case_intake(spark: SparkSession, case_root: str, output: str, bundle: str |
     if bundle is not None:
         found = [c for c in found if Path(c.path).resolve() == Path(bundle).resolve()]
     if len(found) != 1:
-        listed = ", ".join(c.path for c in found[:12]) or "none"
-        raise InputError(f"one bundle is needed, found {len(found)}: {listed}")
+        listed = sinks.first_of([f"{c.path} (intervals={c.interval_count}, servers={c.server_count}, clients={c.client_count})" for c in found], 12, "candidates")
+        raise InputError(f"one bundle is needed, found {len(found)}" + (f":\n{listed}" if found else ""))
     m = CASE_NUMBER.search(str(root.resolve()))
     reference = m.group(0).upper() if m else root.resolve().name
     run = sinks.run_directory(Path(output) / text.slug(reference, otherwise="case-intake"), overwrite)

@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .placed import csv_rows, write_placed
@@ -62,18 +62,6 @@ def copied(files: DataFrame, folder: str | Path) -> None:
     files.repartition(slots, "rel").mapInPandas(run, "rel string").agg(F.count("*")).collect()
 
 
-def markdown_rows(df: DataFrame, path: str | Path, title: str, section: tuple[str, str], head: str) -> int:
-    """A Markdown file with a section and a table of all rows of df, in its order, written by many tasks."""
-    path = Path(path)
-    cells = [F.replace(F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")) for c in df.columns]
-    top = f"# {title}\n\n## {section[0]}\n\n{section[1].rstrip()}\n\n## {head}\n\n{markdown_table(df.columns, [])}"
-    rows = df.select(F.lit(path.name).alias("file"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |\n")).alias("data"))
-    n = write_placed(rows, path.parent, None, top).get(path.name, 0)
-    if not n:
-        path.write_text(top, encoding="utf-8")
-    return n
-
-
 def csv_directory(df: DataFrame, path: str) -> None:
     """The same by Spark's own writer, in parts, for results that one file should not hold."""
     df.write.option("header", True).csv(path)
@@ -101,13 +89,40 @@ def markdown_table(columns: list[str], rows: Iterable[Iterable]) -> str:
     return "\n".join(lines) + "\n"
 
 
-def markdown_frame(df: DataFrame, most: int = 2000) -> str:
-    """A table of the first rows of a result for reading; the CSV beside it has them all."""
-    return markdown_table(df.columns, (list(r) for r in df.limit(most).toLocalIterator()))
+#: Rows of a Markdown table up to which the driver writes it; larger ones are written by many tasks.
+SHORT = 2000
 
 
-def markdown_file(path: str | Path, title: str, *sections: tuple[str, str]) -> None:
-    text = f"# {title}\n"
+def markdown_cells(df: DataFrame) -> Column:
+    """A row of df as a line of a Markdown table."""
+    cells = [F.replace(F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")) for c in df.columns]
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |\n"))
+
+
+def first_of(items: list[str], most: int, what: str) -> str:
+    """The first items of a list for reading, a line each, and how many more there are."""
+    more = [f"- … {len(items) - most} more {what}"] if len(items) > most else []
+    return "\n".join([f"- {x}" for x in items[:most]] + more)
+
+
+def markdown_file(path: str | Path, title: str, *sections: tuple[str, str | DataFrame]) -> None:
+    """A title and sections (heading, body). A body that is a DataFrame is a table of all its rows, in its order."""
+    path = Path(path)
+    parts: list[str | DataFrame] = [f"# {title}\n"]
     for head, body in sections:
-        text += f"\n## {head}\n\n{body.rstrip()}\n"
-    Path(path).write_text(text, encoding="utf-8")
+        if isinstance(body, DataFrame):
+            rows = body.limit(SHORT + 1).collect()
+            if len(rows) > SHORT:
+                parts += [f"\n## {head}\n\n{markdown_table(body.columns, [])}", body]
+                continue
+            body = markdown_table(body.columns, (list(r) for r in rows))
+        parts.append(f"\n## {head}\n\n{body.rstrip()}\n")
+    if all(isinstance(x, str) for x in parts):
+        path.write_text("".join(parts), encoding="utf-8")
+        return
+    spark = next(x for x in parts if isinstance(x, DataFrame)).sparkSession
+    rows = spark.createDataFrame([(k, 0, x) for k, x in enumerate(parts) if isinstance(x, str)], "k int, id long, data string")
+    for k, x in enumerate(parts):
+        if isinstance(x, DataFrame):  # its partitions are in order, so this number is
+            rows = rows.unionByName(x.select(F.lit(k).alias("k"), F.monotonically_increasing_id().alias("id"), markdown_cells(x).alias("data")))
+    write_placed(rows.withColumn("file", F.lit(path.name)), path.parent, ["k", "id"])

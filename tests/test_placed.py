@@ -75,3 +75,14 @@ def test_ten_thousand_identifiers_in_one_pass(spark):
     got = search.match_counts(search.line_matches(lines, [f"k{i}." for i in range(10_000)]))
     rows = {r["identifier"]: r["match_count"] for r in got.collect()}
     assert rows == {f"k{i}.": (i < 2000) + (i % 5 == 0) for i in range(10_000) if i < 2000 or i % 5 == 0}
+
+
+def test_markdown_holds_every_row(spark, tmp_path, monkeypatch):
+    df = spark.range(500).repartition(6).selectExpr("id", "concat('a|', id, '\n') AS text").orderBy("id")
+    sections = [("Few", "some text"), ("Table", df), ("Middle", "more"), ("Small", df.limit(2)), ("Again", df.orderBy(F.col("id").desc()))]
+    sinks.markdown_file(tmp_path / "driver.md", "T", *sections)
+    monkeypatch.setattr(sinks, "SHORT", 10)
+    sinks.markdown_file(tmp_path / "tasks.md", "T", *sections)
+    text = (tmp_path / "tasks.md").read_text()
+    assert text == (tmp_path / "driver.md").read_text() and text.count("a\\|") == 1002
+    assert sinks.first_of(["x", "y", "z"], 2, "things") == "- x\n- y\n- … 1 more things"
