@@ -49,8 +49,8 @@ def matching_log_lines(lines: DataFrame, needles: list[str], start=None, end=Non
     return hit.where(in_window(F.col("ts"), start, end)).withColumn("noise", is_debug_traffic(F.col("line")))
 
 
-def correlated_log_events(hits: DataFrame, needles: list[str], width: int = 700) -> DataFrame:
-    """Equal messages at equal times, from whatever file, as one event."""
+def correlated_log_events(hits: DataFrame, needles: list[str], width: int = 700, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Equal messages at equal times, from whatever file, as one event. keep: message, n (how many lines), to be kept as columns."""
     place = F.struct("path", "line_no")
     groups = hits.groupBy("ts", without_leading_stamp(F.col("line")).alias("message")).agg(
         F.count("*").alias("n"),
@@ -71,6 +71,7 @@ def correlated_log_events(hits: DataFrame, needles: list[str], width: int = 700)
             timeline_event(line).alias("event"),
             excerpt_first_of(line, needles, width).alias("details"),
             F.array_join("sides", ",").alias("source_group"),
+            *keep,
         )
     )
 

@@ -8,8 +8,8 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import classify, text, timestamps
-from ..operators import changes, graphs, inventory, review, search, timeline, windows
+from ..functions import classify, timestamps
+from ..operators import changes, graphs, inventory, links, review, search, timeline, windows
 from ..sources import tables
 from ..sources.tables import document_lines, event_timeline, events, table
 
@@ -99,14 +99,8 @@ def timeline_dedupe(spark, sf_dir):
     e = events(spark, sf_dir)
     side = F.when(F.col("user_id") % 2 == 0, "server").otherwise("client")
     hits = e.select(F.date_trunc("minute", "ts").alias("ts"), F.col("user_id").cast("string").alias("path"), side.alias("side"), F.col("event_id").cast("int").alias("line_no"), F.col("event_type").alias("line"))
-    many = F.col("n") > 1
-    g = hits.groupBy("ts", text.without_leading_stamp(F.col("line")).alias("message")).agg(
-        F.count("*").alias("n"), F.min("side").alias("side"), F.sort_array(F.collect_set("side")).alias("sides"), F.sort_array(F.collect_set("path")).alias("paths"), F.min("line_no").alias("line_no")
-    )
-    return iso(
-        g.select("ts", "message", "n", F.when(many, "correlated_monitor_log").otherwise(F.concat("side", F.lit("_monitor_log"))).alias("source_type"), F.array_join("sides", ",").alias("source_group"), F.array_join("paths", " + ").alias("source_file"), F.when(~many, F.col("line_no")).alias("source_line")),
-        "ts",
-    )
+    found = timeline.correlated_log_events(hits, [], keep=("message", "n"))
+    return iso(found.select("ts", "message", "n", "source_type", "source_group", "source_file", "source_line"), "ts")
 
 
 @query("timeline_topn", f"SELECT {ISO.format('ts')} AS ts, event_id FROM events ORDER BY events.ts, event_id LIMIT 500")
@@ -409,14 +403,14 @@ def graph_cycles(spark, sf_dir):
 # association and review --------------------------------------------------------------------------
 @query("assoc_semi", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def assoc_semi(spark, sf_dir):
-    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(urgent, "l_orderkey", "left_semi")
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    return links.among(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", urgent, "o_orderkey")
 
 
 @query("assoc_group", "SELECT o_orderkey, coalesce(string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR), '') AS parts FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def assoc_group(spark, sf_dir):
-    parts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.col("l_partkey").cast("string"))).alias("parts"))
-    return table(spark, sf_dir, "orders").select("o_orderkey").join(parts, "o_orderkey", "left").select("o_orderkey", F.coalesce(F.array_join("parts", ","), F.lit("")).alias("parts"))
+    parts = links.ids_by(table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "l_partkey", "parts")
+    return links.looked_up(table(spark, sf_dir, "orders").select("o_orderkey"), parts, "o_orderkey").fillna("", ["parts"])
 
 
 SEEDS = "SELECT DISTINCT 'document' AS seed_type, doc_id::VARCHAR AS seed_value FROM labels WHERE toxic = 1"
@@ -450,9 +444,9 @@ def review_seed_counts(spark, sf_dir):
 
 @query("entity_lookup", "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
 def entity_lookup(spark, sf_dir):
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    nations = links.looked_up(table(spark, sf_dir, "nation").withColumnRenamed("n_regionkey", "r_regionkey"), table(spark, sf_dir, "region"), "r_regionkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
-    return c.join(n.join(r, n["n_regionkey"] == r["r_regionkey"], "left"), "n_nationkey", "left").select("c_custkey", "n_name", "r_name")
+    return links.looked_up(c, nations, "n_nationkey").select("c_custkey", "n_name", "r_name")
 
 
 @query("intake_categories", "SELECT category, count(*) AS artifacts, sum(size)::BIGINT AS bytes FROM (SELECT ['diagnostic_archive_or_extract', 'job_or_configuration', 'image_or_graph', 'tabular_export', 'archive', 'log_or_text', 'other'][page_id % 7 + 1] AS category, length(html) AS size FROM pages) GROUP BY 1")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, records, text, timestamps
-from ..operators import changes, graphs, inventory, review, search, timeline, windows
+from ..operators import changes, graphs, inventory, links, review, search, timeline, windows
 from ..sources import bundles, ingest, placed, sinks
 
 STREAM = "cluster/eventstream.json"
@@ -384,7 +384,7 @@ def connected_part(edges: DataFrame, entities: DataFrame, seed: str, max_depth:
 
 def graph_rows(near: DataFrame, part: DataFrame, entities: DataFrame) -> DataFrame:
     ends = lambda key, other, name: part.groupBy(F.col(key).alias("id")).agg(F.array_join(F.sort_array(F.collect_set(other)), ",").alias(name))
-    rows = near.select(F.col("node").alias("id"), F.col("depth").alias("depth_from_seed")).join(entities, "id", "left").join(ends("dst", "src", "predecessors"), "id", "left").join(ends("src", "dst", "successors"), "id", "left")
+    rows = links.looked_up(near.select(F.col("node").alias("id"), F.col("depth").alias("depth_from_seed")), entities, "id").join(ends("dst", "src", "predecessors"), "id", "left").join(ends("src", "dst", "successors"), "id", "left")
     rows = rows.withColumn("source_count", F.coalesce(F.size("sources"), F.lit(0)))
     return rows.orderBy(F.coalesce("create_time_utc", F.lit("")), "id")
 
@@ -441,8 +441,8 @@ def eval_trace(spark: SparkSession, root: str, output: str, evaluation: str | No
             raise SeedError(f"allocation {alloc} has no captured evaluation")
         seed = hit["eval_id"]
     near, part, missing = connected_part(graphs.evaluation_edges(evals), evals, seed, max_depth)
-    related = allocs.join(near.select(F.col("node").alias("eval_id")), "eval_id", "left_semi").cache()
-    by_eval = related.groupBy(F.col("eval_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("related_allocations"))
+    related = links.among(allocs, "eval_id", near, "node").cache()
+    by_eval = links.ids_by(related, "eval_id", "id", "related_allocations").withColumnRenamed("eval_id", "id")
     rows = graph_rows(near, part, evals).join(by_eval, "id", "left").orderBy(F.coalesce("create_time_utc", F.lit("")), "id").cache()
     plain = ["depth_from_seed", "create_time_utc", "modify_time_utc", "namespace", "job_id", "node_id", "deployment_id", "triggered_by", "status", "status_description"]
     shown = rows.select(F.col("id").alias("evaluation_id"), *plain, F.col("predecessors").alias("previous_eval"), F.col("successors").alias("next_eval"), "blocked_eval", "related_allocations", "first_seen_interval", "last_seen_interval", "source_count")
