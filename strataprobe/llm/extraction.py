@@ -9,6 +9,7 @@ these paths keeps its own best container.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterable
 from html import unescape
@@ -54,7 +55,7 @@ OTHERS = frozenset(
     "rail recommendations recommended related search searchbox searchform share sharing signup sitemap skiplink social submenu subscribe subscription toolbar topbar trending widget widgets".split()
 )
 #: How words begin that say so too.
-STEMS = ("advert", "breadcrumb", "cookie", "navbar", "newsletter", "sidebar", "sponsor")
+STEMS = ("adsby", "advert", "breadcrumb", "cookie", "navbar", "newsletter", "sidebar", "sponsor")
 #: A word after one of these tells what a container has, not what it is.
 HAS = frozenset("has have hide no not show with without".split())
 POST = frozenset("article entry post story".split())
@@ -323,7 +324,7 @@ class Page:
 
     def best(self, gone: list[bool], mass: list[int]) -> int:
         """The container of the main text: the article with most of it if articles hold a third, else the innermost container
-        that holds three fifths of what the one around it does."""
+        that holds three fifths of what the one around it does, unless all the rest are headings: these are its title."""
         articles = [k for k, tag in enumerate(self.tags) if tag == "article" and not gone[k]]
         if articles:
             top = max(articles, key=lambda k: (mass[k], -k))
@@ -336,11 +337,24 @@ class Page:
         for node in range(1, len(self.tags)):
             if mass[node]:
                 children.setdefault(self.parents[node], []).append(node)
+        own = list(mass)
+        last = list(range(len(self.tags)))  # the last node below each; nodes are numbered in page order
+        titled = [False] * len(self.tags)
+        for k in range(len(self.tags) - 1, 0, -1):
+            own[self.parents[k]] -= mass[k]
+            last[self.parents[k]] = max(last[self.parents[k]], last[k])
+        for k in range(1, len(self.tags)):
+            titled[k] = titled[self.parents[k]] or self.tags[k] in HEADINGS
+        texts = [0, *itertools.accumulate(x > 0 for x in own)]  # how many nodes before each have text, and text that is no heading
+        plain = [0, *itertools.accumulate(x > 0 and not t for x, t in zip(own, titled))]
+        beside = lambda count, node, big: count[last[node] + 1] - count[node] - count[last[big] + 1] + count[big]
         node = here = 0
         while inner := children.get(here):
             big = max(inner, key=lambda k: (mass[k], -k))
             if 5 * mass[big] < 3 * mass[node]:
                 break
+            if node and beside(texts, node, big) and not beside(plain, node, big):
+                break
             here = big
             if self.tags[big] in HOLDERS or self.tags[big] not in BLOCKS and "-" in self.tags[big]:
                 node = big

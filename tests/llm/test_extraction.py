@@ -79,6 +79,7 @@ def test_merged_winners_give_the_same(spark, monkeypatch):
         ("<title>T</title><p>x</p><textarea><p>no</p></textarea>", "x"),
         ("<article><p>5 < 6 and 7 > 3 &lt;b&gt;</p></article>", "5 < 6 and 7 > 3 <b>"),
         ("<P CLASS=Nav-Item>no</P><DIV CLASS='longform'>Yes.</DIV>", "Yes."),
+        ('<body><div class="page"><div class="post"><h2><b>Title</b></h2><div class="text"><p>Body one, and on.</p><p>Two.</p></div></div><div class="c7"><p>Not much.</p></div></div>', "Title\nBody one, and on.\nTwo."),
         ("<a href=x>link<p>para one, long enough to be text.</a><p>two</p>", "link\npara one, long enough to be text.\ntwo"),
     ],
 )
