@@ -1,4 +1,5 @@
 import csv
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +87,27 @@ def test_markdown_holds_every_row(spark, tmp_path, monkeypatch):
     text = (tmp_path / "tasks.md").read_text()
     assert text == (tmp_path / "driver.md").read_text() and text.count("a\\|") == 1002
     assert sinks.first_of(["x", "y", "z"], 2, "things") == "- x\n- y\n- … 1 more things"
+
+
+def test_fixed_ranges_are_written_without_a_shuffle(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ordinals, "RANGE_ROWS", 300)
+    rows = ordinals.fixed_ranges(spark.range(2000).repartition(3).selectExpr("(id * 7919) % 2000 AS k"), "k")
+    assert rows.rdd.getNumPartitions() > 4
+    each = rows.selectExpr("inline(array(struct('a' AS file, 'é' || k || ';' AS data), struct(if(k % 2 = 0, 'd/even', 'd/odd') AS file, k || ',' AS data)))")
+    counts = placed.write_placed(each, tmp_path, None, head={"a": "é<", "d/odd": "["}, tail={"a": ">"}, fixed=True)
+    assert counts == {"a": 2000, "d/even": 1000, "d/odd": 1000}
+    assert (tmp_path / "a").read_text() == "é<" + "".join(f"é{i};" for i in range(2000)) + ">"
+    assert (tmp_path / "d/even").read_text() == "".join(f"{i}," for i in range(0, 2000, 2))
+    assert (tmp_path / "d/odd").read_text() == "[" + "".join(f"{i}," for i in range(1, 2000, 2))
+
+
+def test_json_holds_every_row_of_long_tables(spark, tmp_path):
+    df = spark.range(100_001).repartition(5).selectExpr("id", "if(id % 2 = 0, null, concat('é\"', id)) AS text", "array(id) AS l").orderBy("id")
+    want = [{"id": i, "text": None if i % 2 == 0 else f'é"{i}', "l": [i]} for i in range(100_001)]
+    few = df.where("id < 3")
+    sinks.json_file({"a": 1, "rows": df, "b": few, "again": df, "end": ["x"]}, tmp_path / "o.json")
+    assert json.loads((tmp_path / "o.json").read_text()) == {"a": 1, "rows": want, "b": want[:3], "again": want, "end": ["x"]}
+    sinks.json_file(df, tmp_path / "list.json")
+    assert json.loads((tmp_path / "list.json").read_text()) == want
+    sinks.json_file(few, tmp_path / "few.json")
+    assert (tmp_path / "few.json").read_text() == json.dumps(want[:3], indent=2) + "\n"
