@@ -134,3 +134,27 @@ def test_heads_hashes_and_caps(spark, tmp_path, tiny):
     kept = inventory.bounded_lines(splits.lines(files.where("rel = 'wide.txt'"), 0), max_bytes=25)
     assert sorted(r["line_no"] for r in kept.collect()) == [1, 2, 3]
     assert inventory.bounded_lines(splits.lines(files.where("rel = 'wide.txt'"), 0), max_lines=7).count() == 7
+
+
+def test_lines_that_may_hold(spark):
+    """Lines are left out before they are parsed only if no record of theirs can hold a needle."""
+    from pyspark.sql import functions as F
+
+    def kept(line, *needles):
+        return spark.createDataFrame([(line,)], "line string").where(ingest.may_hold(F.col("line"), list(needles))).count() == 1
+
+    uuid = "00000000-0000-4000-8000-000000000002"
+    assert kept('{"ID": "%s"}' % uuid, uuid) and not kept('{"ID": "x"}', uuid) and kept('{"ID": "x"}')
+    assert kept('{"ID": "\\u0030"}', uuid) and kept('{"Payload": {"Evaluation": 1}}', '"Evaluation"') and not kept('{"Payload": 1}', '"Evaluation"')
+    for needle in ("100000", "1e-05", "0.5", "-1", "5e-5", '"a":1', "a b", "é"):  # how a number or a separator is written may change
+        assert kept('{"n": 1E5}', needle), needle
+
+
+def test_event_lines_by_needle(spark, tmp_path, monkeypatch):
+    """The parser sees the lines alone that may hold a needle, and the rows are those a filter afterwards keeps."""
+    file = tmp_path / "eventstream.json"
+    file.write_text("".join('{"n": %d, "id": "al-%d"}\n' % (i, i % 50) for i in range(500)))
+    files = spark.createDataFrame([(str(file), "eventstream.json", file.stat().st_size)], "path string, rel string, length long")
+    some = ingest.event_records(files, whole_bytes=0, needles=["al-7"])
+    assert [r["line_no"] for r in some.orderBy("line_no").collect()] == list(range(8, 501, 50))
+    assert ingest.event_records(files, whole_bytes=0).count() == 500

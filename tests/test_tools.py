@@ -5,6 +5,7 @@ from datetime import UTC, datetime
 import pytest
 
 from strataprobe.__main__ import main
+from strataprobe.functions import records
 from strataprobe.plans import captured, tools
 from strataprobe.sources import bundles, ingest
 from tests.bundle import NODE, A, B, C, D, E, X, Y, make
@@ -197,3 +198,30 @@ def test_the_bundle_is_made_without_shuffling_its_lines(spark):
     size = sum(p.stat().st_size for p in root.rglob("*") if p.is_file())
     assert size > 4_000_000 and shuffled() - before < size / 8
     assert sorted(p.name for p in root.iterdir()) == ["nomad-debug-sf", "notes.txt", "rows.csv"]
+
+
+def merged(spark, monkeypatch, latest_wins):
+    alloc = '{"ID":"a","NodeID":"n1","ClientStatus":""}'
+    snaps = [("interval/0001/allocations.json", "json", 0, alloc, "0001", "allocations.json"), ("interval/0003/allocations.json", "json", 0, alloc, "0003", "allocations.json")]
+    payload = '{"Payload":{"Allocation":{"ID":"%s","NodeID":"n2","ClientStatus":"%s"}}}'
+    stream = [("s.json", 7, payload % ("a", "late")), ("s.json", 3, payload % ("a", "early")), ("s.json", 4, payload % ("b", "only")), ("s.json", 5, '{"Payload":null}')]
+    monkeypatch.setattr(tools.ingest, "snapshots", lambda *a, **k: spark.createDataFrame(snaps, "rel string, mode string, elem_idx int, record_json string, interval_id string, artifact string"))
+    monkeypatch.setattr(tools, "stream_rows", lambda *a: spark.createDataFrame(stream, "rel string, line_no long, record_json string").mapInPandas(lambda frames: frames, "rel string, line_no long, record_json string"))
+    out, snaps = tools.merged_entities(None, "allocations.json", "Allocation", records.allocation_summary, records.ALLOCATION_IDS, latest_wins)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r["id"]: (r["node_id"], r["client_status"], r["first_seen_interval"], r["last_seen_interval"], r["sources"]) for r in out.collect()}
+    snaps.unpersist()
+    return plan.count("MapInPandas"), rows
+
+
+def test_lineage_reads_the_stream_once(spark, monkeypatch):
+    times, rows = merged(spark, monkeypatch, latest_wins=False)
+    sources = ["interval/0001/allocations.json", "interval/0003/allocations.json", "s.json:3", "s.json:7"]
+    assert rows == {"a": ("n1", "early", "0001", "0003", sources), "b": ("n2", "only", "", "", ["s.json:4"])}
+    assert times == 1
+
+
+def test_trace_merges_in_one_aggregation(spark, monkeypatch):
+    times, rows = merged(spark, monkeypatch, latest_wins=True)
+    assert rows["a"][:4] == ("n2", "late", "0001", "0003") and rows["b"] == ("n2", "only", "", "", ["s.json:4"])
+    assert times == 1
