@@ -225,3 +225,45 @@ def test_trace_merges_in_one_aggregation(spark, monkeypatch):
     times, rows = merged(spark, monkeypatch, latest_wins=True)
     assert rows["a"][:4] == ("n2", "late", "0001", "0003") and rows["b"] == ("n2", "only", "", "", ["s.json:4"])
     assert times == 1
+
+
+def counted(spark, df):
+    """(df, the number of its rows that were computed so far)."""
+    n = spark.sparkContext.accumulator(0)
+
+    def through(frames):
+        for f in frames:
+            n.add(len(f))
+            yield f
+
+    return df.mapInPandas(through, df.schema), n
+
+
+def test_a_connected_part_reads_its_edges_once(spark):
+    edges, n = counted(spark, spark.createDataFrame([(f"n{i}", f"n{i + 1}", "next") for i in range(4)], "src string, dst string, relation string"))
+    near, part, missing = tools.connected_part(edges, spark.createDataFrame([("n0",), ("n1",)], "id string"), "n1", 2)
+    assert (near.count(), part.count(), sorted(r["node"] for r in missing.collect())) == (4, 3, ["n2", "n3"])
+    assert n.value == 4
+
+
+@pytest.mark.parametrize("needles", [16, 0])
+def test_trace_merges_linked_allocations_alone(spark, tmp_path, monkeypatch, needles):
+    monkeypatch.setattr(tools, "NEEDLES", needles, raising=False)
+    tree = make(tmp_path / "b")
+    far = "77777777-0000-4000-8000-000000000000"
+    path = tree / "interval/0003/allocations.json"
+    more = [{"ID": far, "EvalID": far}, {"ID": C, "EvalID": far}, {"ID": E, "EvalID": Y, "JobID": "late"}]
+    path.write_text(json.dumps(json.loads(path.read_text()) + more))
+    merge, ids = tools.changes.merge_by_id, set()
+
+    def seen(rows, *a, **k):
+        ids.update(r["id"] for r in rows.select("id").distinct().collect())
+        return merge(rows, *a, **k)
+
+    monkeypatch.setattr(tools.changes, "merge_by_id", seen)
+    out = tools.eval_trace(spark, str(tree), str(tmp_path / "o"), alloc=A)
+    rows = {r["evaluation_id"]: r["related_allocations"] for r in table(out / "eval_trace.csv")}
+    assert rows == {X: ",".join(sorted([A, B, D])), Y: E}  # C's latest evaluation is another
+    assert far not in ids and {A, B, C, D, E} <= ids
+    kept = {a["id"]: a for a in load(out / "allocations.json")}
+    assert kept[E]["job_id"] == "late" and kept[A]["node_name"] == "n1" and kept[A]["first_seen_interval"] == "0000" and len(kept[A]["sources"]) == 4
