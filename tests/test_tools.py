@@ -267,3 +267,11 @@ def test_trace_merges_linked_allocations_alone(spark, tmp_path, monkeypatch, nee
     assert far not in ids and {A, B, C, D, E} <= ids
     kept = {a["id"]: a for a in load(out / "allocations.json")}
     assert kept[E]["job_id"] == "late" and kept[A]["node_name"] == "n1" and kept[A]["first_seen_interval"] == "0000" and len(kept[A]["sources"]) == 4
+
+
+def test_correlate_reads_the_stream_once(spark, tree, tmp_path, monkeypatch):
+    rows = tools.stream_rows(tools.bundles.listing(spark, str(tree)))
+    stream, n = counted(spark, rows)
+    monkeypatch.setattr(tools, "stream_rows", lambda *a: stream)
+    tools.correlate_timeline(spark, str(tree), str(tmp_path / "o"), allocs=[A])
+    assert n.value == 2
