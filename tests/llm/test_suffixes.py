@@ -63,6 +63,24 @@ def test_a_crowd_around_one_long_passage(spark):
     check(spark, [(i, t, "en", "s") for i, t in enumerate(texts)], 400, 200)
 
 
+def test_planted_passages_by_what_is_removed(spark, tmp_path):
+    """Passages of over 50 words in unlike texts, through the query: n_removed tells those of 400 bytes or more from clean
+    texts and from shorter ones; n_bytes is the input's size whatever is planted, and tells nothing."""
+    rng = random.Random(21)
+    long = [prose(rng, 90, 10**6) + (" née" * 3 if k % 2 else "") for k in range(6)]
+    short = [" ".join(f"{rng.randrange(16**4):04x}" for _ in range(60)) for _ in range(3)]
+    assert all(len(p.encode()) >= 400 for p in long) and all(50 < len(p.split()) and len(p.encode()) < 390 for p in short)
+    planted = {i: long[i % 6] for i in range(30)} | {i: short[i % 3] for i in range(30, 45)}
+    texts = {i: f"{i} " + prose(rng, rng.choice([5, 60, 300]), 10**6) + (" été" if i % 3 else "") for i in range(120)}
+    texts = {i: f"{t}\n{planted[i]}\n{prose(rng, 20, 10**6)}" if i in planted else t for i, t in texts.items()}
+    frame(spark, [(i, t, "en", "s") for i, t in texts.items()]).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in sx.op10_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert all(rows[i]["n_bytes"] == len(t.encode()) for i, t in texts.items())
+    assert all(rows[i]["n_removed"] >= len(planted[i].encode()) and rows[i]["n_spans"] == 1 for i in range(30))
+    assert not any(rows[i]["n_removed"] for i in range(30, 120))
+    assert [tuple(rows[i])[1:] for i in texts] == plain(texts.values(), 400)
+
+
 def test_empty(spark):
     assert sx.remove_repeats(frame(spark, corpus()).where("false")).count() == 0
 
