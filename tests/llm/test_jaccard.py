@@ -55,6 +55,28 @@ def test_families_around_the_threshold(spark, monkeypatch):
     assert found(j.jaccard_components(frame(spark, rows))) == plain(rows, 4, 85)
 
 
+def test_a_large_family_is_not_verified_pair_by_pair(spark, monkeypatch):
+    """Pairs whose ends earlier ones join are left out; the components are those of all pairs."""
+    rng = random.Random(5)
+    texts = family(rng, 120, 150, 4) + family(rng, 60, 60, 3) + family(rng, 40, 400, 12)
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    counts, verify = [], j.verify
+
+    def counted(pairs, sets, percent):
+        counts.append(pairs.count())
+        return verify(pairs, sets, percent)
+
+    monkeypatch.setattr(j, "verify", counted)
+    monkeypatch.setattr(j, "GROUP", 4)  # small groups leave much to the lists
+    found_ = {}
+    for least in (10**9, 0):
+        counts.clear()
+        monkeypatch.setattr(j, "PAIRS_A_SET", least)
+        assert found(j.jaccard_components(frame(spark, rows))) == plain(rows, 4, 85)
+        found_[least] = sum(counts)
+    assert found_[0] * 2 < found_[10**9], found_
+
+
 @pytest.mark.parametrize("at_once", [1 << 20, 50])
 def test_block_skips_lose_no_pair(monkeypatch, at_once):
     """Against a look at every pair of every list."""
