@@ -38,7 +38,6 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--assume-tz")
     t.add_argument("--include-static", action="store_true")
     t.add_argument("--include-profiles", action="store_true")
-    t.add_argument("--max-scan-mb", type=int, default=8)
     t.add_argument("--overwrite", action="store_true")
     t = tool("history", "one allocation's history")
     t.add_argument("--alloc", required=True)

@@ -30,10 +30,10 @@ def line_manifest(inside: DataFrame) -> DataFrame:
 
 
 def interval_times(texts: DataFrame) -> DataFrame:
-    """texts(interval_id, name, text) -> interval_id, ts, time_source: the least timestamp of the first file, in
-    order of TIME_SOURCES and then of name, that has any."""
+    """texts(interval_id, name, text), of a file one or more -> interval_id, ts, time_source: the least timestamp of the
+    first file, in order of TIME_SOURCES and then of name, that has any."""
+    ts = F.array_min(timestamps_in(F.col("text")))
+    files = texts.select("interval_id", "name", ts.alias("ts")).where("ts is not null").groupBy("interval_id", "name").agg(F.min("ts").alias("ts"))
     order = F.array_position(F.array(*[F.lit(n) for n in TIME_SOURCES]), F.col("name"))
     rank = F.struct(F.when(order > 0, order).otherwise(len(TIME_SOURCES) + 1).alias("o"), F.col("name").alias("n"))
-    ts = F.array_min(timestamps_in(F.col("text")))
-    seen = texts.withColumn("ts", ts).where("ts is not null").withColumn("rank", rank)
-    return seen.groupBy("interval_id").agg(F.min_by("ts", "rank").alias("ts"), F.min_by("name", "rank").alias("time_source"))
+    return files.withColumn("rank", rank).groupBy("interval_id").agg(F.min_by("ts", "rank").alias("ts"), F.min_by("name", "rank").alias("time_source"))

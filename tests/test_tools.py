@@ -93,6 +93,16 @@ def test_window(spark, tree, tmp_path):
         tools.extract_window(spark, str(tree), str(tmp_path / "o"), start, end)
 
 
+def test_window_reads_texts_to_their_end(spark, tmp_path):
+    root = make(tmp_path)
+    for i, name, text in (("0007", "jobs.json", "[" + '{"ID":"x"},' * 900_000), ("0008", "notes.txt", "nothing here\n" * 750_000)):
+        (root / "interval" / i).mkdir()
+        (root / "interval" / i / name).write_text(text + '{"At":"2026-08-14T17:18:31Z"},\n{"At":"2026-08-14T17:18:30Z"}]')
+    at = datetime(2026, 8, 14, 17, 18, 30, tzinfo=UTC)
+    s = load(tools.extract_window(spark, str(root), str(tmp_path / "o"), at, at) / "summary.json")
+    assert (s["selected_intervals"], s["unparsed_intervals"]) == (["0007", "0008"], [])
+
+
 def test_history(spark, tree, tmp_path):
     out = tools.alloc_history(spark, str(tree), A, str(tmp_path / "o"))
     rows = table(out / "timeline.csv")
