@@ -11,6 +11,16 @@ from strataprobe.sources import bundles, ingest
 from tests.bundle import NODE, A, B, C, D, E, X, Y, make
 
 
+def shuffled(spark):
+    """Bytes written to shuffles so far."""
+    store, gate, jvm = spark._jsc.sc().statusStore(), spark.sparkContext._gateway, spark._jvm
+    stages = store.stageList(jvm.java.util.ArrayList(), False, False, gate.new_array(jvm.double, 0), jvm.java.util.ArrayList()).iterator()
+    total = 0
+    while stages.hasNext():
+        total += stages.next().shuffleWriteBytes()
+    return total
+
+
 @pytest.fixture(scope="module")
 def tree(tmp_path_factory):
     root = tmp_path_factory.mktemp("TS123456789") / "case"
@@ -162,6 +172,44 @@ def test_review(spark, tree, tmp_path):
         tools.case_review(spark, str(tree), str(context), str(tmp_path / "o2"))
 
 
+@pytest.mark.parametrize("needles,whole", [(16, 1 << 25), (0, 1 << 25), (16, 200), (0, 200)])
+def test_review_keeps_no_records(spark, tmp_path, monkeypatch, needles, whole):
+    """However files are read, records that carry no seed are neither cached nor shuffled, and the report is the same."""
+    tree = make(tmp_path / "b")
+    with open(tree / "cluster/eventstream.json", "a") as f:
+        f.writelines(json.dumps({"Index": n, "Topic": "Allocation", "Payload": {"Allocation": {"ID": f"other-{n}", "JobID": f"j{n}", "NodeID": "n" * 50}, "Node": None}}) + "\n" for n in range(8000))
+    with open(tree / "interval/0001/allocations.json", "a") as f:
+        f.writelines(json.dumps({"ID": f"other-{n}", "JobID": f"j{n}", "EvalID": f"e{n}", "NodeID": "n" * 50}) + "\n" for n in range(8000))
+    size = sum(p.stat().st_size for p in tree.rglob("*") if p.is_file())
+    context = tmp_path / "c.json"
+    context.write_text(json.dumps({"schema_version": 1, "classification": "lead", "case_reference": "TS1", "seeds": {"allocation_ids": [A, E], "job_ids": ["web"], "node_ids": [NODE]}}))
+    monkeypatch.setattr(tools, "NEEDLES", needles)
+    monkeypatch.setattr(tools.ingest.splits, "WHOLE_BYTES", whole)
+    counts, cached = tools.review.seed_counts, []
+
+    def seen(rows):
+        out = counts(rows)
+        out.count()
+        cached.append(sum(r.memSize() + r.diskSize() for r in spark._jsc.sc().getRDDStorageInfo()))
+        return out
+
+    monkeypatch.setattr(tools.review, "seed_counts", seen)
+    spark.catalog.clearCache()
+    before = shuffled(spark)
+    out = tools.case_review(spark, str(tree), str(context), str(tmp_path / "o"))
+    assert size > 1_500_000 and cached[0] < size / 8 and shuffled(spark) - before < size / 8
+    rows = table(out / "report.csv")
+    order = [tuple(r[c] for c in [*tools.OBSERVATION[:3], "source_artifact", "interval", "source_line", *tools.OBSERVATION[-2:]]) for r in rows]
+    assert order == sorted(order)
+    found = {}
+    for r in rows:
+        key = (r["seed_value"], r["evidence_type"])
+        found[key] = found.get(key, 0) + 1
+    assert found == {(A, "interval_snapshot"): 3, (A, "eventstream_payload"): 1, (E, ""): 1, ("web", "interval_snapshot"): 18, ("web", "eventstream_payload"): 1, (NODE, "interval_snapshot"): 15, (NODE, "eventstream_payload"): 2}
+    parsing = load(out / "summary.json")["parsing"]
+    assert (parsing["eventstream_records"], parsing["records_read"]["allocations.json"], parsing["parse_modes"]["allocations.json:json-lines"]) == (8002, 8012, 1)
+
+
 def test_intake(spark, tree, tmp_path):
     (tree.parent / "notes.txt").write_text("x")
     (tree.parent / "graph.png").write_text("x")
